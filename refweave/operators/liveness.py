@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refweave.functions.normalize import norm_id, norm_path
 
 
-def current_rows(df: DataFrame, key: Column, at: Column, values: dict[str, Column]) -> DataFrame:
-    """One row per key: the values of the row with the latest ``at``.
-
-    A null time is older than any time; among rows of one time the greatest values win, so that the result doesn't
-    depend on row order. Rows whose key is null have no identity and are left out. An empty input gives no rows.
-    """
-    packed = F.struct(at.alias("at"), *[c.alias(k) for k, c in values.items()])
-    grouped = df.select(key.alias("key"), packed.alias("v")).where(F.col("key").isNotNull())
-    got = grouped.groupBy("key").agg(F.max("v").alias("v"), F.min("v.at").alias("first_at"))
-    return got.select("key", "v.*", "first_at")
-
-
-def symbol_states(symbols: DataFrame, removals: DataFrame) -> DataFrame:
+def symbol_states(symbols: DataFrame, removals: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """(id, parent_id, path, start_line, at, first_at, has_row, removed, live) per identifier of either table.
 
+    ``extra`` names further columns of symbols to take from the current row.
+
     live: it has a row and no removal at or after the time of its current row. A removal without a time removes
     nothing, but counts as known to the removals. One shuffle on the identifier, combined map-side.
     """
     v = F.struct(
         F.col("indexed_at").alias("at"), F.lit(True).alias("has_row"), norm_id("parent_id").alias("parent_id"),
-        norm_path("path").alias("path"), F.col("start_line").alias("start_line"),
+        norm_path("path").alias("path"), F.col("start_line").alias("start_line"), *[F.col(c).alias(c) for c in extra],
     )
     rows = symbols.select(norm_id("id").alias("id"), v.alias("v"), F.col("indexed_at").alias("seen"), F.lit(None).cast("timestamp_ntz").alias("gone"), F.lit(False).alias("removed"))
     none = F.lit(None).cast(rows.schema["v"].dataType)
@@ -40,7 +30,7 @@ def symbol_states(symbols: DataFrame, removals: DataFrame) -> DataFrame:
     has = F.col("v").isNotNull()
     dead = F.col("gone").isNotNull() & (F.col("v.at").isNull() | (F.col("gone") >= F.col("v.at")))
     return agg.select(
-        "id", "v.parent_id", "v.path", "v.start_line", "v.at", "first_at", has.alias("has_row"), "removed", (has & ~dead).alias("live")
+        "id", "v.parent_id", "v.path", "v.start_line", *[f"v.{c}" for c in extra], "v.at", "first_at", has.alias("has_row"), "removed", (has & ~dead).alias("live")
     )
 
 
