@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from refweave.llm.words import INVISIBLE
+
 MIN_WORDS = 30
 MOSTLY = 0.5
 #: At most so many graded texts are taken for training (those with the lowest ids); all texts are scored.
@@ -39,14 +41,15 @@ _CODE = re.compile(
 _COMMENT = re.compile(r"^\s*(?://|/\*|\*/|--\s|\"\"\"|'''|%%)")
 _LOG = re.compile(r"^\s*[\[(]?(?:\d{4}-\d\d-\d\d|\d\d:\d\d(?::\d\d)?)|\b(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE|FATAL)\b|^\s*at [\w.$<>]+\(")
 _MARK = re.compile(r"^\s*(?:>+\s?|[-*+•‣·]\s+|#{1,6}\s+|\d+[.)]\s+)+")
+_HEADING = re.compile(r"#{1,6}\s")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _CAMEL = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Z][a-z]+[A-Z]")
 
 
 def prose(text: str) -> tuple[str, int]:
-    """(prose of the text, words outside it). Sentences of list items and headings get an end.
+    """(prose of the text, words outside it). Each list item is a sentence.
 
-    Fenced blocks, lines of code, comments, logs and tables are outside; markup and list marks are dropped, and lines
+    Fenced blocks, lines of code, comments, logs and tables are outside, headings on neither side; markup and list marks are dropped, and lines
     that were wrapped flow together.
     """
     outside = 0
@@ -56,6 +59,8 @@ def prose(text: str) -> tuple[str, int]:
     if "<" in t:
         t = _PRE.sub("\n\n", t)
         t = _TAG.sub(" ", _BLOCK.sub("\n\n", t))
+    if not t.isascii():
+        t = INVISIBLE.sub("", t)
     if "```" in t or "~~~" in t:
         cut = _FENCE.sub("\n\n", t)
         outside += (len(t) - len(cut)) // 7
@@ -70,6 +75,9 @@ def prose(text: str) -> tuple[str, int]:
             outside += max(1, line.count(" ") + 1)
             kept.append(" . ")
             continue
+        if line[0] == "#" and line.count(" ") <= 6 and line[-1] not in ".?!" and _HEADING.match(line):
+            kept.append(" . ")
+            continue
         m = None if line[0].isalpha() else _MARK.match(line)
         if m:
             kept.append(" . ")

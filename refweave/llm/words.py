@@ -18,7 +18,7 @@ _LINK = re.compile(r"\]\([^()\s]*\)")
 _LINE_NO = re.compile(r"(?m)^[ \t]*(?:L?\d+[ \t]*[|:])[ \t]?")
 _BROKEN = re.compile(r"([^\W_]+)[-‐‑][ \t]*\r?\n[ \t>#/*|;%+\-]*([^\W_]+)")
 _ASCII = {c: " " for c in range(128) if not chr(c).isalnum()}
-_INVISIBLE = re.compile("[­᠎​-‍⁠﻿]")
+INVISIBLE = re.compile("[­᠎​-‍⁠﻿]")
 
 
 def _unescape(m: re.Match) -> str:
@@ -47,7 +47,7 @@ def words(text: str | None, vocabulary: Container[str] = ()) -> list[str]:
     if "](" in t:
         t = _LINK.sub("]", t)
     if not t.isascii():
-        t = _INVISIBLE.sub("", t)
+        t = INVISIBLE.sub("", t)
         if not unicodedata.is_normalized("NFKC", t):
             t = unicodedata.normalize("NFKC", t)
     t = t.lower()
