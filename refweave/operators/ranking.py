@@ -18,10 +18,10 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     placed = shared_table(ranged.withColumns({"row_id": F.monotonically_increasing_id()}), "numbered")
     part = F.shiftright("row_id", 33)
     sizes = [(r[0], r[1]) for r in placed.groupBy(part.alias("part")).count().collect()]  # one row a partition
-    before, total = {}, 0
+    before, total = [], 0
     for p, n in sorted(sizes):
-        before[p], total = total, total + n
-    offsets = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
-    number = F.bitwise_and if hasattr(F, "bitwise_and") else None
-    local = F.col("row_id").bitwiseAND(F.lit((1 << 33) - 1)) if number is None else number(F.col("row_id"), F.lit((1 << 33) - 1))
-    return placed.withColumns({"row_no": (offsets[part] + local + 1).cast("bigint"), "row_count": F.lit(total).cast("bigint")}).drop("row_id")
+        before.append((p, total))
+        total += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "part long, before long"))
+    local = F.col("row_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("part", part).join(offsets, "part").withColumns({"row_no": F.col("before") + local + 1, "row_count": F.lit(total).cast("bigint")}).drop("row_id", "part", "before")
