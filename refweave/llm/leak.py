@@ -102,8 +102,8 @@ def _aligned(p: Passages, text: np.ndarray, lower: np.ndarray, upper: np.ndarray
             options = [(slice(None), best[e - 1], begun[e - 1] if places else None)]
             options.append((slice(0, -1), best[e - 1][1:], begun[e - 1][1:] if places else None))
             options.append((slice(1, None), now[e - 1][:-1], where[e - 1][:-1] if places else None))
-            if i < e:  # a stretch begins with a changed word only at the passage's own beginning
-                options.append((slice(None), np.zeros_like(best[0]), np.maximum(at, lower) if places else None))
+            # a stretch that so far is changed words only
+            options.append((slice(None), np.full_like(best[0], max(0, i + 1 - e)), at + 1 if places else None))
             for to, o, o_at in options:
                 if places:
                     less = o < now[e][to]
