@@ -204,7 +204,7 @@ def isotonic(score: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class ReadingModel:
     """Trained on graded texts; immutable and small, so it goes to every task."""
 
-    def __init__(self, texts: list[str], levels: list[int], folds: int = 8) -> None:
+    def __init__(self, texts: list[str], levels: list[int], folds: int = 5) -> None:
         plain = [prose(t)[0] for t in texts]
         level = np.array(levels, np.int64)
         first = Tokens({})
