@@ -12,7 +12,7 @@ from refweave.operators.hierarchy import hierarchies
 from refweave.plans.problems import id_sql, path_sql
 from refweave.plans.views import catalogue, current_references, listing, live_symbols
 from refweave.schema import FILE, KIND_NAMES
-from refweave.session import cut
+from refweave.session import cut, shared_table
 from refweave.sources import crawl
 from refweave.sources.tables import table
 
@@ -35,7 +35,7 @@ def _visible(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
-    seen = _visible(spark, sf)
+    seen = cut(_visible(spark, sf).select("id", "parent_id", "name", "kind", "path", "start_line"))
     return graph.file_nodes(seen, _tree(seen))
 
 
@@ -228,20 +228,24 @@ def association_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.associate(listing(spark, sf), ASSOCIATIONS).select("relative_path", "language_id")
 
 
-def innermost_symbol(spark: SparkSession, sf: str) -> DataFrame:
-    symbols = cut(live_symbols(spark, sf))
+def _innermost(symbols: DataFrame, references: DataFrame) -> DataFrame:
     tree = _tree(symbols).where("node_depth >= 0").select(F.col("symbol_id").alias("id"), F.col("node_depth").alias("depth"))
     parents = symbols.select(F.col("id").alias("parent_id"), "path", F.lit(True).alias("has_parent"))
     linked = symbols.join(parents, ["parent_id", "path"], "left").withColumn("parent_id", F.when(F.col("has_parent"), F.col("parent_id")))
     spans = linked.join(tree, "id").select("path", "id", "parent_id", "depth", F.struct("start_line", "id").alias("ordinal"), "start_line", "end_line")
-    return innermost(current_references(spark, sf).select(F.col("to_path").alias("path"), F.col("line_number").alias("line")), spans)
+    return innermost(references.select(F.col("to_path").alias("path"), F.col("line_number").alias("line")), spans)
+
+
+def innermost_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    return _innermost(cut(live_symbols(spark, sf)), current_references(spark, sf))
 
 
 def extracted_references(spark: SparkSession, sf: str) -> DataFrame:
     """Usages resolved to the innermost symbol's id through path, name and start line, from the file that declares."""
     symbols = cut(live_symbols(spark, sf))
-    at = innermost_symbol(spark, sf).join(symbols.select(F.col("id").alias("symbol_id"), "name", "start_line"), "symbol_id")
-    used = current_references(spark, sf).where(F.col("from_path") != F.col("to_path")).select(F.col("from_path").alias("decl_path"), F.col("id").alias("decl_key"), F.col("to_path").alias("path"), F.col("line_number").alias("line"))
+    references = shared_table(current_references(spark, sf), "references")
+    at = _innermost(symbols, references).join(symbols.select(F.col("id").alias("symbol_id"), "name", "start_line"), "symbol_id")
+    used = references.where(F.col("from_path") != F.col("to_path")).select(F.col("from_path").alias("decl_path"), F.col("id").alias("decl_key"), F.col("to_path").alias("path"), F.col("line_number").alias("line"))
     located = used.join(at, ["path", "line"]).select("decl_path", "decl_key", F.col("path").alias("target_path"), "line", "name", "start_line")
     rows, _ = extraction.reference_rows(located, symbols)
     return rows.select("from_symbol_id", "to_symbol_id", "from_path", "to_path", "reference_type", "line_number")
