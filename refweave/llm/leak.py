@@ -7,6 +7,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from refweave.llm.words import words
 RUN, SHARE = 30, 10  # running words; one in so many may differ
 SEED = 7  # words of a search phrase where the run is RUN long
 SHARD_WORDS = 1_000_000
+#: Items that together are longer are refused, as they go to every task.
+MAX_CHARACTERS = 200_000_000
 _STEP, _REACH, _BAND = 4, 9, 17  # diagonals: bucket step, reach of a bucket's hits, width of the alignment
 
 
@@ -183,29 +186,30 @@ def leaks(documents: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS
     The items are a fixed set and go to every task (their size is checked); documents stay where they are: each task
     indexes its documents in shards of ``shard_words`` words, so nothing is shuffled.
     """
-    rows = [(r[0], r[1]) for r in items.select("item_id", "passage").collect()]
-    size = sum(len(x or "") for _, x in rows)
-    if size > 200_000_000:
+    size = items.agg(F.sum(F.length("passage") + F.length("item_id"))).first()[0] or 0
+    if size > MAX_CHARACTERS:
         raise ValueError(f"{size} characters of passages are too many for one pass; split the items into blocks")
+    rows = [(r[0], r[1]) for r in items.select("item_id", "passage").collect()]
     rows.sort(key=lambda r: (r[0] is not None, r[0] or ""))
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Passages(shared.value)
-        ids: list[int] = []
+        ids: list[int | None] = []
         docs: list[np.ndarray] = []
         held = 0
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> pa.RecordBatch:
             got = search_shard(p, docs)
             out = [(ids[d], item, f, l) for d, q, f, l in got.itertuples(index=False) for item in p.items[q]]
             ids.clear(), docs.clear()
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "first_word", "last_word"])
+            cols = list(zip(*out)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "first_word", "last_word"])
 
         get, vocabulary = p.vocabulary.get, p.vocabulary
         for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"]):
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = words(text, vocabulary)
                 if len(w) < p.shortest:
                     continue
@@ -213,12 +217,12 @@ def leaks(documents: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS
                 docs.append(np.fromiter(map(get, w, repeat(0)), np.int32, len(w)))
                 held += len(w)
                 if held >= shard_words:
-                    yield from flush()
+                    yield flush()
                     held = 0
         if docs:
-            yield from flush()
+            yield flush()
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id string, first_word long, last_word long")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id string, first_word long, last_word long")
 
 
 def removal_spans(found: DataFrame) -> DataFrame:

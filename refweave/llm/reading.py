@@ -7,8 +7,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from refweave.llm.words import INVISIBLE
 
@@ -253,16 +254,16 @@ def reading_levels(documents: DataFrame, model: ReadingModel) -> DataFrame:
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         tokens = Tokens(m.vocabulary)
         for b in batches:
-            for s in range(0, len(b), 1000):
-                part = b.iloc[s : s + 1000]
-                split = [prose(t) if t else ("", 0) for t in part["text"]]
+            for s in range(0, b.num_rows, 1000):
+                part = b.slice(s, 1000)
+                split = [prose(t) if t else ("", 0) for t in part.column(1).to_pylist()]
                 rates, syntax, sums = features(tokens, [p for p, _ in split])
                 ok = is_english_prose(sums, np.array([o for _, o in split], float))
                 levels = m.level(rates[ok], syntax[ok])
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[ok], "reading_level": levels.astype(np.int32)})
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), pa.array(levels.astype(np.int32))], ["doc_id", "reading_level"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, reading_level int")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, reading_level int")

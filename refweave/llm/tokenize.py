@@ -10,6 +10,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 VOCABULARIES = os.environ.get("REFWEAVE_TOKENIZERS", "/opt/tokenizers")
 #: How the byte-level vocabularies split a text before merging (fixed value).
@@ -146,7 +147,7 @@ def encode(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCAB
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), ids], ["doc_id", "ids"])
                 start = stop
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABULARIES, leaf: int = LEAF) -> DataFrame:
@@ -159,4 +160,4 @@ def decode(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABUL
             texts = [t.decode(x or []) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")

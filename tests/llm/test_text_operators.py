@@ -85,11 +85,14 @@ def test_leaks_against_dynamic_programming(spark):
         part = edit(rnd, p, min(n, len(p) - 4))
         a = rnd.randrange(0, 9)
         docs.append([rnd.choice(WORDS[200:]) for _ in range(rnd.randrange(6))] + part[a if k % 2 else 0 :] + ["tail"] * 3)
-    table = [(k, " ".join(d), "x") for k, d in enumerate(docs)] + [(900, None, "x"), (901, "", "x"), (902, "w1 " * 50_000, "x")]
+    big = 2**60  # not exact as a float
+    docs.append(list(passages[2]))
+    table = [(k if k < 60 else big + 1, " ".join(d), "x") for k, d in enumerate(docs)] + [(None, " ".join(passages[1]), "x"), (900, None, "x"), (901, "", "x"), (902, "w1 " * 50_000, "x")]
     got = leak.leaks(spark.createDataFrame(table, "doc_id long, text string, passage string").repartition(3), spark.createDataFrame(items, "item_id string, passage string"), shard_words=300)
     found = {(r.doc_id, r.item_id) for r in got.collect()}
-    expected = set()
+    expected = {(None, "i1")}
     for k, d in enumerate(docs):
+        k = k if k < 60 else big + 1
         for q, p in enumerate(passages):
             if set(p) & set(d) and holds(d, p):
                 expected.add((k, f"i{q}"))
@@ -156,9 +159,9 @@ def test_reading_levels(spark):
     fresh = level_texts(rnd, 5)
     code = "def run(x):\n    return x + 1\n\n" * 20
     other = [None, "", "Too short a text.", code, "Der Baum ist im selben Ordner und der Graph nicht auf dem Pfad. " * 8, "12:01:02 INFO start the job\n" * 20, fresh[0][0] + "\n```\n" + code * 6 + "```"]
-    docs = [(k, t) for k, (t, _) in enumerate(fresh)] + [(100 + k, t) for k, t in enumerate(other)]
+    docs = [(k, t) for k, (t, _) in enumerate(fresh)] + [(100 + k, t) for k, t in enumerate(other)] + [(None, fresh[0][0]), (2**60 + 1, fresh[-1][0])]
     got = {r.doc_id: r.reading_level for r in reading.reading_levels(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
-    assert got == {k: lv for k, (_, lv) in enumerate(fresh)}
+    assert got == {k: lv for k, (_, lv) in enumerate(fresh)} | {None: 1, 2**60 + 1: 3}
     assert reading.reading_levels(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
     with pytest.raises(ValueError):
         reading.train(spark.createDataFrame([(1, 1, "a")], "text_id int, reading_level int, text string"))
