@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refweave.functions.normalize import EDGE, norm_id, norm_path
 from refweave.operators import hierarchy, orphans, skew, snapshots
 from refweave.operators.liveness import symbol_states
+from refweave.session import shared_dir
+from refweave.sources.snapshot_index import SnapshotIndex
 from refweave.sources.tables import table
 
 
@@ -41,6 +45,17 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.snapshot_changes(latest).select("snapshot_no", "relative_path", "change_kind")
 
 
+def p4_last(spark: SparkSession, sf: str) -> DataFrame:
+    """The changes of the last snapshot against a kept index of the one before it."""
+    latest = snapshots.latest_per_path(table(spark, sf, "code_file_snapshots"))
+    two = [r[0] for r in latest.select("snapshot_no").distinct().orderBy(F.col("snapshot_no").desc()).limit(2).collect()]
+    index = SnapshotIndex(spark, f"{shared_dir(spark)}/refweave-{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}", 16)
+    if len(two) == 2:
+        index.swap(latest.where(F.col("snapshot_no") == two[1]).select("relative_path", "updated_ms"))
+    last = latest.where(F.col("snapshot_no") == (two[0] if len(two) == 2 else -1)).select("relative_path", "updated_ms")
+    return index.changes(last).select("relative_path", "change_kind")
+
+
 def _tree(spark: SparkSession, sf: str, with_paths: bool) -> DataFrame:
     states = symbol_states(table(spark, sf, "symbols"), table(spark, sf, "symbol_removals"))
     return hierarchy.hierarchies(hierarchy.live_nodes(states), with_paths)
@@ -58,7 +73,7 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.descendants(_tree(spark, sf, True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_profile, p4_found, p5_found, p5_chains, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_profile, p4_found, p4_last, p5_found, p5_chains, p5_descendants)}
 
 
 def id_sql(c: str) -> str:
@@ -114,6 +129,14 @@ a AS (SELECT n.no, l.p, l.u FROM l JOIN n ON l.snapshot_no = n.no AND n.prev IS
 SELECT coalesce(a.no, b.no) AS snapshot_no, coalesce(a.p, b.p) AS relative_path,
     CASE WHEN b.p IS NULL THEN 'added' WHEN a.p IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
 FROM a FULL JOIN b ON a.no = b.no AND a.p = b.p WHERE a.p IS NULL OR b.p IS NULL OR a.u IS DISTINCT FROM b.u
+""",
+    "p4_last": f"""
+WITH l AS (SELECT snapshot_no, {path_sql('relative_path')} AS p, max(date_trunc('millisecond', updated_at)) AS u FROM code_file_snapshots
+    WHERE snapshot_no IS NOT NULL AND {path_sql('relative_path')} IS NOT NULL GROUP BY 1, 2),
+a AS (SELECT p, u FROM l WHERE snapshot_no = (SELECT max(snapshot_no) FROM l)),
+b AS (SELECT p, u FROM l WHERE snapshot_no = (SELECT max(snapshot_no) FROM l WHERE snapshot_no < (SELECT max(snapshot_no) FROM l)))
+SELECT coalesce(a.p, b.p) AS relative_path, CASE WHEN b.p IS NULL THEN 'added' WHEN a.p IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+FROM a FULL JOIN b ON a.p = b.p WHERE a.p IS NULL OR b.p IS NULL OR a.u IS DISTINCT FROM b.u
 """,
     "p5_found": f"{_NODES} FROM link l LEFT JOIN walk w ON w.id = l.id",
     "p5_chains": f"{_NODES}, coalesce(w.chain, '') AS chain FROM link l LEFT JOIN walk w ON w.id = l.id",

@@ -36,13 +36,26 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_table(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as parquet below the shared folder and read it back, columns prunable."""
+    """Write ``df`` as parquet below the shared folder and read it back, columns prunable.
+
+    All tables of an application lie in one folder, which :func:`drop_shared` deletes.
+    """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/refweave-{what}-{uuid.uuid4().hex}"
+    at = f"{_own_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/refweave-{spark.sparkContext.applicationId}"
+
+
+def drop_shared(spark: SparkSession) -> None:
+    """Delete the tables that this application wrote to the shared folder; no result that reads them may be open."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions of this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

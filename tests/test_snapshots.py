@@ -44,3 +44,18 @@ def test_changes_against_brute_force(spark):
 def test_single_and_empty(spark):
     assert snapshot_changes(latest_per_path(spark.createDataFrame([], SCHEMA))).count() == 0
     assert snapshot_changes(latest_per_path(spark.createDataFrame([(1, "a", None, "")], SCHEMA))).count() == 0
+
+
+def test_kept_index(spark, tmp_path):
+    from refweave.sources.snapshot_index import SnapshotIndex
+
+    s = "relative_path string, updated_ms long"
+    old = spark.createDataFrame([("a", 1), ("b", 2), ("c", None), ("d", None), ("e", 5)], s)
+    new = spark.createDataFrame([("a", 1), ("b", 3), ("c", None), ("d", 4), ("f", None)], s)
+    index = SnapshotIndex(spark, f"file://{tmp_path}/index", buckets=3)
+    assert {r.change_kind for r in index.changes(old).collect()} == {"added"}
+    index.swap(old)
+    got = SnapshotIndex(spark, f"file://{tmp_path}/index", buckets=3).changes(new)
+    assert sorted(tuple(r) for r in got.collect()) == [("b", "changed", 2, 3), ("d", "changed", None, 4), ("e", "removed", 5, None), ("f", "added", None, None)]
+    index.swap(new)
+    assert index.changes(new).count() == 0
