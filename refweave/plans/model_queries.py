@@ -251,6 +251,10 @@ def extracted_references(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("from_symbol_id", "to_symbol_id", "from_path", "to_path", "reference_type", "line_number")
 
 
+def file_line_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl.line_counts(table(spark, sf, "file_texts"))
+
+
 def crawl_listing(spark: SparkSession, sf: str) -> DataFrame:
     """The test data's own folder, listed by glob."""
     return crawl.listing(spark, sf, {"**/*.parquet": "parquet"}).select("relative_path", "language_id")
@@ -261,7 +265,7 @@ _ALL = [
     graph_elements_union, total_symbols, run_counters, symbol_roots, symbols_per_file, symbol_flatten, file_scan, file_point_lookup, reference_scan, symbols_of_path_ordered,
     symbol_find_id, snapshot_diff, snapshot_removes, catalog_upsert, catalog_delete, symbol_insert, cascade_delete_refs, cascade_delete_symbols, reference_replace, fk_violations,
     visible_symbols, shortest_root, path_labels, relative_path, line_metrics, position_struct, iso_timestamp, kind_names, locale_lookup, association_expansion, innermost_symbol,
-    extracted_references, crawl_listing,
+    extracted_references, file_line_counts, crawl_listing,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -362,6 +366,7 @@ SQL = {name: f"{_BASE} {body}" for name, body in {
     "kind_names": f"SELECT coalesce({KIND_NAMES!r}[kind + 1], 'Unknown') AS kind_name, count(*) AS n FROM live GROUP BY 1",
     "locale_lookup": "SELECT key, coalesce(nullif(message, ''), key) AS message FROM (VALUES ('start'), ('stop'), ('empty'), ('both'), ('other')) k(key) LEFT JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _MESSAGES.items()) + ") m(k2, message) ON k2 = key",
     "association_expansion": "SELECT relative_path, 'typescript' AS language_id FROM lst WHERE relative_path LIKE '%.ts' UNION ALL SELECT relative_path, 'script' FROM lst WHERE relative_path LIKE '%.py' OR relative_path LIKE '%.go' UNION ALL SELECT relative_path, 'test' FROM lst WHERE regexp_matches(relative_path, '(^|/)tests/.*[.]ts$')",
+    "file_line_counts": "SELECT relative_path, coalesce(length(file_text) - length(replace(file_text, chr(10), '')) + 1, 0)::INTEGER AS line_count FROM file_texts",
     "innermost_symbol": "SELECT path, line, symbol_id FROM inner_symbol",
     "extracted_references": """, ids AS (SELECT path, name, start_line, min(id) AS symbol_id FROM live WHERE path IS NOT NULL AND name IS NOT NULL AND start_line IS NOT NULL GROUP BY 1, 2, 3),
     roots AS (SELECT path, min(id) AS from_symbol_id FROM live WHERE kind = 0 AND path IS NOT NULL GROUP BY 1)

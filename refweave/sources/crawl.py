@@ -82,6 +82,19 @@ def listing(spark: SparkSession, root: str, associations: dict[str, str] | None)
     return associate(walk(spark, root), associations)
 
 
+def line_counts(texts: DataFrame) -> DataFrame:
+    """(relative_path, line_count) of (relative_path, file_text): one more than its line breaks; 0 for a null text."""
+    n = F.coalesce(F.length("file_text") - F.length(F.replace("file_text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    return texts.select("relative_path", n.cast("int").alias("line_count"))
+
+
+def open_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(relative_path, file_text) of the files below a folder, one row a file."""
+    base = re.escape(root.rstrip("/").split("://")[-1])
+    files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
+    return files.select(F.regexp_replace(F.col("_metadata.file_path"), f"^.*?{base}/", "").alias("relative_path"), F.col("value").alias("file_text"))
+
+
 def shortest_root(folders: list[str]) -> str | None:
     """The shortest of the workspace folders, the first of equals; None without any."""
     return min(folders, key=len) if folders else None

@@ -108,3 +108,24 @@ def test_stream_of_listings(spark, tmp_path):
         spark.createDataFrame(rows, CODE_FILES).write.mode("append").parquet(src)
         follow(spark, src, store, f"{tmp_path}/cp").awaitTermination(60)
     assert sorted(tuple(r) for r in store.table("code_files").collect()) == [("a", T2), ("b", T2)]
+
+
+def test_time_limit(spark):
+    import time
+
+    from refweave.plans.control import within
+
+    assert within(spark, 60, lambda: spark.range(5).count()) == 5
+    with pytest.raises(ZeroDivisionError):
+        within(spark, 60, lambda: 1 // 0)
+    slow = spark.range(4, numPartitions=4).mapInPandas(lambda it: (time.sleep(20) or b for b in it), "id long")
+    with pytest.raises(TimeoutError):
+        within(spark, 3, slow.count)
+
+
+def test_open_texts(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.ts").write_text("one\ntwo\n")
+    (tmp_path / "y.ts").write_text("one")
+    texts = crawl.open_texts(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in crawl.line_counts(texts).collect()) == [("a/x.ts", 3), ("y.ts", 1)]
