@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,20 @@ def drop_shared(spark: SparkSession) -> None:
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions of this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that their Python finds it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="refweave-")) / "refweave.zip"  # the driver serves it from here
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, f"refweave/{p.relative_to(package).as_posix()}")
+    spark.sparkContext.addPyFile(str(at))
+    _shipped.add(app)
