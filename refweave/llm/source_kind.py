@@ -16,14 +16,14 @@ from refweave.session import cut, shared_table
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 4  # at 0.8 a pair misses all bands with a chance of 0.002
-SALT = 8
 REPETITIVE, LITERAL = 0.7, 0.45
 #: Only files that repeat so much of themselves can be of a repetitive family; the others' masked shingles aren't clustered.
 FAMILY = 0.5
 MIN_UNITS = 5  # lines of one pattern before it counts as repeated
 LONG_LINE, MANGLED = 300, 4.0
-#: So many candidate sets are sent to every task as a list of keys; more of them are joined by shuffle.
-BROADCAST_KEYS = 100_000
+#: Classes of a bucket that are compared in one task; of more, the bucket's parts are compared two by two.
+BLOCK = 4000
+STRIP, COLUMNS = 256, 1024  # sets and tokens that are counted at once
 
 _TOKEN = re.compile(r"[^\W\d]\w*|\n|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`|0[xX][0-9a-fA-F]+|\d[\w.]*|[^\w\s]")
 _BLOCK = re.compile(r"/\*.*?(?:\*/|\Z)|^[ \t]*(\"\"\"|''').*?(?:\1|\Z)", re.DOTALL | re.MULTILINE)
@@ -179,29 +179,97 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=_FIELDS).astype({"masked_key": "Int64", "raw_key": "Int64"})
 
 
-def clusters(measured: DataFrame, view: str) -> DataFrame:
-    """(set_key, cluster): each distinct shingle set of a view with the set at the centre of its cluster.
+def _join(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels, each that of its set's least member, after the sets of i and j are joined pair by pair."""
+    while True:
+        a, b = labels[i], labels[j]
+        apart = a != b
+        if not apart.any():
+            return labels
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+
 
-    Equal sets are one class from the start, whatever their number. In each band's bucket the least key is the centre;
-    every other class is compared with it alone, by the exact share of common shingles, and joins it at 0.8 or more. A
-    class goes to the least centre that it is similar to; one without such a centre is its own cluster and has no row.
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each set the least number of a set that links of SIMILAR or more, each between a left and a right set, join it to.
+
+    All pairs of a left and a right set are counted exactly, but for those whose sizes alone rule it out: tokens are
+    taken in chunks of columns, as a product of matrices, over strips of sets sorted by size.
+    """
+    labels = np.arange(len(sets))
+    size = np.array([len(x) for x in sets], np.int64)
+    left, right = (x[np.argsort(size[x], kind="stable")] for x in (left, right))
+    same = np.array_equal(left, right)
+    vocabulary, column = np.unique(np.concatenate(sets), return_inverse=True)
+    # a token of one set alone is in no pair
+    many = np.bincount(column) > 1
+    row = np.repeat(np.arange(len(sets)), size)[many[column]]
+    column = (np.cumsum(many) - 1)[column[many[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    strips = []
+    for s in range(0, len(left), STRIP):
+        part = size[left[s : s + STRIP]]
+        lo, hi = np.searchsorted(size[right], (SIMILAR * part[0] - 1e-9, part[-1] / SIMILAR + 1e-9))
+        strips.append((slice(s, s + STRIP), slice(max(lo, s) if same else lo, hi)))
+    common = [np.zeros((len(left[a]), len(right[b])), np.float32) for a, b in strips]
+    for c in range(0, int(many.sum()), COLUMNS):
+        at = slice(*np.searchsorted(column, (c, c + COLUMNS)))
+        dense = np.zeros((len(sets), COLUMNS), np.float32)
+        dense[row[at], column[at] - c] = 1
+        x = dense[left]
+        y = x if same else dense[right]
+        for (a, b), found in zip(strips, common):
+            found += x[a] @ y[b].T
+    for (a, b), found in zip(strips, common):
+        either = size[left[a], None] + size[None, right[b]] - found
+        i, j = np.nonzero(found >= SIMILAR * either - 1e-6)
+        labels = _join(labels, left[a][i], right[b][j])
+    return labels
+
+
+def _links(d: pd.DataFrame) -> pd.DataFrame:
+    """Links of the buckets, or of the two parts of one, that a group holds."""
+    out = [pd.DataFrame({"set_key": [], "centre": []}, dtype="int64")]
+    for _, g in d.groupby(["band", "bucket", "p", "q"], sort=False):
+        g = g.sort_values("set_key")
+        keys, part = g["set_key"].to_numpy(), g["part"].to_numpy()
+        left, right = np.flatnonzero(part == g["p"].iloc[0]), np.flatnonzero(part == g["q"].iloc[0])
+        if len(left) and len(right):
+            labels = linked(g["shingles"].to_list(), left, right)
+            moved = np.flatnonzero(labels != np.arange(len(labels)))
+            out.append(pd.DataFrame({"set_key": keys[moved], "centre": keys[labels[moved]]}))
+    return pd.concat(out)
+
+
+def links(measured: DataFrame, view: str) -> DataFrame:
+    """(set_key, centre), the greater and the lesser key: links that join what similar distinct sets of a view join.
+
+    Equal sets are one class from the start, whatever their number. Of each band's bucket every pair of classes is
+    compared by the exact share of common shingles. A bucket of more than BLOCK classes is split into parts, and each
+    two parts are compared in a task of their own; smaller ones share tasks. A task gives a forest of its links.
     """
     key, of_set, of_bands = (F.col(f"{view}_{x}") for x in ("key", "set", "bands"))
     classes = measured.where(key.isNotNull()).select(key.alias("set_key"), of_bands.alias("bands")).dropDuplicates(["set_key"])
     banded = classes.select("set_key", F.posexplode("bands").alias("band", "bucket"))
-    centres = banded.groupBy("band", "bucket").agg(F.min("set_key").alias("centre"), F.max("set_key").alias("other")).where("centre <> other").drop("other")
-    pairs = cut(banded.join(centres, ["band", "bucket"]).where("set_key <> centre").select("set_key", "centre").distinct())
-    wanted = pairs.select("set_key").union(pairs.select("centre")).distinct()
-    if pairs.count() <= BROADCAST_KEYS // 2:
-        wanted = F.broadcast(wanted)
-    sets = measured.select(key.alias("set_key"), of_set.alias("shingles")).join(wanted, "set_key", "left_semi").dropDuplicates(["set_key"])
-    # a centre of very many classes is met by them in SALT parts
-    spread = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
-    heads = sets.join(pairs.select(F.col("centre").alias("set_key")).distinct(), "set_key", "left_semi").select(F.col("set_key").alias("centre"), F.col("shingles").alias("other"), spread)
-    both = pairs.join(sets, "set_key").withColumn("salt", F.pmod("set_key", F.lit(SALT)).cast("int")).join(heads, ["centre", "salt"])
-    common = F.size(F.array_intersect("shingles", "other"))
-    near = both.where(common >= SIMILAR * (F.size("shingles") + F.size("other") - common))
-    return near.groupBy("set_key").agg(F.min("centre").alias("cluster"))
+    sizes = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(banded.join(sizes, ["band", "bucket"]))
+    groups = F.lit(members.count() // BLOCK + 1)
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    part = F.pmod(F.xxhash64("set_key"), parts).cast("int").alias("part")
+    spread = members.select("set_key", "band", "bucket", "n", part, F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
+    spread = spread.withColumn("p", F.least("part", "with")).withColumn("q", F.greatest("part", "with"))
+    small = F.pmod(F.xxhash64("band", "bucket"), groups)
+    spread = spread.withColumn("task", F.when(F.col("n") <= BLOCK, small).otherwise(F.xxhash64("band", "bucket", "p", "q"))).drop("n", "with")
+    sets = measured.where(key.isNotNull()).select(key.alias("set_key"), of_set.alias("shingles")).join(members.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(["set_key"])
+    return spread.join(sets, "set_key").groupBy("task").applyInPandas(_links, "set_key long, centre long")
+
+
+def clusters(measured: DataFrame, view: str) -> DataFrame:
+    """(set_key, cluster): each distinct shingle set of a view with the least set that it is linked to, if any."""
+    return links(measured, view).groupBy("set_key").agg(F.min("centre").alias("cluster"))
 
 
 def _stats(measured: DataFrame, view: str) -> DataFrame:

@@ -215,3 +215,54 @@ def test_banding_finds_similar_sets():
         b = np.concatenate((a[:90], rnd.integers(0, 2**62, 9)))  # similar at more than 0.8
         missed += not set(enumerate(source_kind.bands(np.sort(a)))) & set(enumerate(source_kind.bands(np.sort(b))))
     assert missed == 0
+
+
+def kinds_of(spark, files):
+    got = source_kind.not_hand_written(spark.createDataFrame([(p,) for p, _ in files], "relative_path string"), spark.createDataFrame(files, "relative_path string, file_text string"))
+    return {r.relative_path: r.kind for r in got.collect()}
+
+
+def measured_sets(spark, sets, buckets):
+    """Measured rows of one band: (set_key, raw set, bucket), as the clustering reads them."""
+    rows = [(k, [int(x) for x in s], [b]) for (k, s), b in zip(sets.items(), buckets)]
+    return spark.createDataFrame(rows, "raw_key long, raw_set array<int>, raw_bands array<long>")
+
+
+def brute_force(sets):
+    """The least key of each set's connected component, where it isn't its own."""
+    least = {k: k for k in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    return {(k, v) for k, v in least.items() if k != v}
+
+
+def test_pairs_apart_from_the_least_key_of_a_bucket(spark, monkeypatch):
+    base = set(range(1000, 1100))
+    # the least key is half similar only; the pairs 2-3 and 4-5 are similar
+    sets = {1: set(range(1050, 1150)), 2: base, 3: base - {1000} | {1}, 4: set(range(2000, 2050)), 5: set(range(2000, 2049))}
+    for block in (4000, 2):  # in one task, and in parts compared two by two
+        monkeypatch.setattr(source_kind, "BLOCK", block)
+        got = {tuple(r) for r in source_kind.clusters(measured_sets(spark, sets, [7] * 5), "raw").collect()}
+        assert got == {(3, 2), (5, 4)} == brute_force(sets)
+
+
+def test_linked_sets_against_brute_force(monkeypatch):
+    monkeypatch.setattr(source_kind, "STRIP", 7)
+    monkeypatch.setattr(source_kind, "COLUMNS", 16)
+    rnd = np.random.default_rng(12)
+    sets = []
+    for _ in range(12):
+        s = set(rnd.integers(0, 200, rnd.integers(5, 40)).tolist())
+        for _ in range(5):
+            sets.append(s)
+            s = s - {min(s)} | {int(rnd.integers(0, 200))}
+    arrays = [np.array(sorted(s), np.int32) for s in sets]
+    every = np.arange(len(sets))
+    got = source_kind.linked(arrays, every, every)
+    assert {(k, int(v)) for k, v in enumerate(got) if k != v} == brute_force(dict(enumerate(sets)))
+    odd = source_kind.linked(arrays, every[::2], every[1::2])
+    direct = [(a, b) for a in every[::2] for b in every[1::2] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert direct and all(odd[a] == odd[b] for a, b in direct)
