@@ -267,9 +267,37 @@ def links(measured: DataFrame, view: str) -> DataFrame:
     return spread.join(sets, "set_key").groupBy("task").applyInPandas(_links, "set_key long, centre long")
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """(u, v): each member of a connected component of the links (u > v) with its least member, which has no row.
+
+    Large and small stars in turn: every node's greater neighbours, then its lesser ones, are linked to the least of
+    them. Each round is a written table; it ends when all links are stars, after about the logarithm of the nodes.
+    """
+    edges = cut(pairs.distinct())
+    while not _stars(edges):
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+    return edges
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    twice = edges.groupBy("u").count().where("count > 1").limit(1).count()
+    return not twice and not edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
+
+
 def clusters(measured: DataFrame, view: str) -> DataFrame:
-    """(set_key, cluster): each distinct shingle set of a view with the least set that it is linked to, if any."""
-    return links(measured, view).groupBy("set_key").agg(F.min("centre").alias("cluster"))
+    """(set_key, cluster): each distinct shingle set of a view with the least set of its cluster.
+
+    Clusters are the connected components of the verified links; the least set of one, and a set without links, is its
+    own cluster and has no row.
+    """
+    pairs = links(measured, view).select(F.col("set_key").alias("u"), F.col("centre").alias("v"))
+    return components(pairs).select(F.col("u").alias("set_key"), F.col("v").alias("cluster"))
 
 
 def _stats(measured: DataFrame, view: str) -> DataFrame:

@@ -266,3 +266,22 @@ def test_linked_sets_against_brute_force(monkeypatch):
     odd = source_kind.linked(arrays, every[::2], every[1::2])
     direct = [(a, b) for a in every[::2] for b in every[1::2] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert direct and all(odd[a] == odd[b] for a, b in direct)
+
+
+@pytest.mark.parametrize("keys", [(1, 2, 3), (2, 1, 3), (3, 1, 2)])  # the middle one of the chain first
+def test_chains_are_one_cluster(spark, keys):
+    middle, x, z = keys
+    base = set(range(1000, 1100))
+    sets = {middle: base, x: base - set(range(1000, 1015)), z: base - set(range(1085, 1100))}  # x and z share 70 of 100
+    got = {tuple(r) for r in source_kind.clusters(measured_sets(spark, sets, [7, 7, 7]), "raw").collect()}
+    assert got == {(2, 1), (3, 1)} == brute_force(sets)
+    # the links of two buckets that have only the middle one in common
+    apart = spark.createDataFrame([(k, [int(v) for v in s], b) for (k, s), b in zip(sets.items(), ([7, 8], [7, 1], [2, 8]))], "raw_key long, raw_set array<int>, raw_bands array<long>")
+    assert {tuple(r) for r in source_kind.clusters(apart, "raw").collect()} == got
+
+
+def test_components_of_a_long_path(spark):
+    order = np.random.default_rng(13).permutation(60).tolist()
+    pairs = [(max(a, b), min(a, b)) for a, b in zip(order, order[1:])] + [(101, 100), (103, 102)]
+    got = {tuple(r) for r in source_kind.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {(k, 0) for k in range(1, 60)} | {(101, 100), (103, 102)}
