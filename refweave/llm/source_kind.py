@@ -17,8 +17,6 @@ from refweave.session import cut, shared_table
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 4  # at 0.8 a pair misses all bands with a chance of 0.002
 REPETITIVE, LITERAL = 0.7, 0.45
-#: Only files that repeat so much of themselves can be of a repetitive family; the others' masked shingles aren't clustered.
-FAMILY = 0.5
 MIN_UNITS = 5  # lines of one pattern before it counts as repeated
 LONG_LINE, MANGLED = 300, 4.0
 #: Classes of a bucket that are compared in one task; of more, the bucket's parts are compared two by two.
@@ -152,10 +150,9 @@ def measure(text: str, repository: str, tokens: Tokens) -> dict:
         pattern = np.add.reduceat(masked[code] * _POWERS[place % len(_POWERS)], begin)
         times = np.sort(np.unique(pattern, return_counts=True)[1])[::-1][:3]
         repeated = float(times[times >= MIN_UNITS].sum() / len(begin))
-    family = repeated >= FAMILY or literal >= LITERAL
     return {
         "repeated": repeated, "literal": literal, "name_length": float(named.mean()) if len(named) else 0.0, "line_length": max(lengths), "notice": notice,
-        "masked": shingles(masked[code]) if family else np.empty(0, np.int32), "raw": shingles(tokens.raw[ids][code]),
+        "masked": shingles(masked[code]), "raw": shingles(tokens.raw[ids][code]),
     }
 
 

@@ -285,3 +285,12 @@ def test_components_of_a_long_path(spark):
     pairs = [(max(a, b), min(a, b)) for a, b in zip(order, order[1:])] + [(101, 100), (103, 102)]
     got = {tuple(r) for r in source_kind.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {(k, 0) for k in range(1, 60)} | {(101, 100), (103, 102)}
+
+
+def test_short_members_of_a_generated_family(spark):
+    rnd = random.Random(14)
+    getters = lambda n: "\n".join(f"  int get{rnd.choice('ABCDEF')}{i}() {{ return f{i}; }}" for i in range(n))
+    files = [("one/short.java", getters(4))] + [(f"one/long{n}.java", getters(n)) for n in (30, 35, 40)] + [(f"one/m{k}.ts", hand(rnd)) for k in range(4)]
+    # too few lines to repeat by itself, but of the very patterns of its family
+    assert source_kind.measure(files[0][1], "one", source_kind.Tokens())["repeated"] == 0
+    assert kinds_of(spark, files) == {p: "generated" for p, _ in files[:4]}
