@@ -294,3 +294,13 @@ def test_short_members_of_a_generated_family(spark):
     # too few lines to repeat by itself, but of the very patterns of its family
     assert source_kind.measure(files[0][1], "one", source_kind.Tokens())["repeated"] == 0
     assert kinds_of(spark, files) == {p: "generated" for p, _ in files[:4]}
+
+
+def test_banding_at_the_threshold():
+    rnd = np.random.default_rng(15)
+    missed = 0
+    for _ in range(5000):
+        x = rnd.integers(-(2**31), 2**31, 500).astype(np.int32)
+        a, b = x[:450], np.concatenate((x[:400], x[450:]))  # 400 in common of 500
+        missed += not set(enumerate(source_kind.bands(np.sort(a)))) & set(enumerate(source_kind.bands(np.sort(b))))
+    assert missed <= 3
