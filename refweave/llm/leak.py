@@ -82,15 +82,15 @@ def _aligned(p: Passages, text: np.ndarray, lower: np.ndarray, upper: np.ndarray
     at most a tenth of it; longer stretches than 59 needn't be tried, as one of their parts holds by itself. Without
     ``places`` only holds is worked out.
     """
-    n, far = len(passage), 1 << 14
+    n, far = len(passage), 1 << 30  # above any word of a passage
     most = (2 * RUN - 1) // SHARE
     length = p.length[passage]
     goal = np.minimum(RUN, length)
-    best = np.full((most + 1, _BAND, n), far, np.int16)
+    best = np.full((most + 1, _BAND, n), far, np.int32)
     begun = np.full((most + 1, _BAND, n), -1, np.int64) if places else None  # where in the text the stretch begins
     holds, first, last = np.zeros(n, bool), np.full(n, 1 << 60, np.int64), np.full(n, -1, np.int64)
     offs = np.arange(_BAND)[:, None]
-    need = [np.maximum(goal, SHARE * e).astype(np.int16) for e in range(most + 1)]
+    need = [np.maximum(goal, SHARE * e).astype(np.int32) for e in range(most + 1)]
     padded = np.ascontiguousarray(p.padded[passage].T)
     around = text[np.clip(diagonal + offs, 0, len(text) - 1)]
     for i in range(int(length.max(initial=0))):
@@ -98,7 +98,7 @@ def _aligned(p: Passages, text: np.ndarray, lower: np.ndarray, upper: np.ndarray
         if i:
             around = np.concatenate((around[1:], text[np.clip(at[-1:], 0, len(text) - 1)]))
         same = (around == padded[i]) & (at >= lower) & (at < upper)
-        now = np.where(same, np.minimum(best, np.int16(i)), np.int16(far)) if not places else np.where(same, np.where(best >= far, np.int16(i), best), np.int16(far))
+        now = np.where(same, np.minimum(best, np.int32(i)), np.int32(far)) if not places else np.where(same, np.where(best >= far, np.int32(i), best), np.int32(far))
         where = np.where(same, np.where(best >= far, at, begun), -1) if places else None
         for e in range(1, most + 1):
             # replaced: same diagonal; dropped from the text: from one diagonal up; added to it: from one down

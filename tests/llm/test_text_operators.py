@@ -304,3 +304,11 @@ def test_banding_at_the_threshold():
         a, b = x[:450], np.concatenate((x[:400], x[450:]))  # 400 in common of 500
         missed += not set(enumerate(source_kind.bands(np.sort(a)))) & set(enumerate(source_kind.bands(np.sort(b))))
     assert missed <= 3
+
+
+def test_passage_of_many_words():
+    p = leak.Passages([("long", " ".join(f"w{k}x" for k in range(20_000)))])
+    text = p.texts[0]
+    docs = [text[100:126], text[19_000:19_026], text[100:130], text[19_000:19_030]]  # 26 words are too few, with three changed ones too
+    got = leak.search_shard(p, docs)
+    assert sorted(set(got["doc"])) == [2, 3]
