@@ -16,17 +16,22 @@ from refweave.session import cut, shared_table
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4  # at 0.8 a pair misses all bands with a chance under 0.001
-REPETITIVE, LITERAL = 0.7, 0.45
-MIN_UNITS = 5  # lines of one pattern before it counts as repeated
-LONG_LINE, MANGLED = 300, 4.0
-#: Classes of a bucket that are compared in one task; of more, the bucket's parts are compared two by two.
+FIRST = 2  # bands whose buckets are linked first
+#: A family of files is machine-made where it has at most so many distinct masked shingles a token, on average over its
+#: files; a file without a family has to show less.
+TEMPLATE, TEMPLATE_ALONE = 0.15, 0.06
+#: A family, or a file without one, is data where so much of its code is literals.
+LITERAL, LITERAL_ALONE = 0.45, 0.7
+LONG_LINE, MANGLED = 300, 4.0  # what a machine-made family is called minified by, on average
+#: Classes of a bucket that are compared in one task; of more, the bucket is compared in parts.
 BLOCK = 4000
 STRIP, COLUMNS = 256, 1024  # sets and tokens that are counted at once
+PIVOTS = 64
 
 _TOKEN = re.compile(r"[^\W\d]\w*|\n|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`|0[xX][0-9a-fA-F]+|\d[\w.]*|[^\w\s]")
 _BLOCK = re.compile(r"/\*.*?(?:\*/|\Z)|^[ \t]*(\"\"\"|''').*?(?:\1|\Z)", re.DOTALL | re.MULTILINE)
 _LINE = re.compile(r"^[ \t]*(?:#(?!include|define|if|ifdef|ifndef|endif|pragma|\[|!\[)|--|//)[^\n]*|[ \t]//[ \t][^\n]*", re.MULTILINE)
-# Words of notices that other people's code carries, and what each of them holds (fixed values).
+# Words of notices that other people's code carries, chosen by hand, and what each of them holds.
 _NOTICE = re.compile(
     r"copyright\b.*\bauthors\b|all rights reserved|licen[cs]ed under|under the terms of|permission (?:is hereby granted|to use)|redistribution and use|external dependency|do not patch"
     r"|\bvendored\b|\bupstream\b|verbatim copy of|copied from|original project|home of the library|copyright \(c\)|spdx-license-identifier|third[- ]party (?:code|library|source)",
@@ -35,7 +40,7 @@ _CUES = (
     "copyright", "all rights reserved", "d under", "under the terms of", "permission", "redistribution and use", "external dependency", "do not patch", "vendored", "upstream",
     "verbatim copy of", "copied from", "original project", "home of the library", "spdx-license-identifier", "third",
 )
-# Folders that hold other people's code (fixed values); the next folder is the library's.
+# Folders that usually hold other people's code, chosen by hand; the next folder is the library's.
 _FOLDER = r"(?:^|/)(?:vendor|vendored|third[_-]?party|3rd[_-]?party|node_modules|bower_components|external(?:/src)?|extern|deps|Godeps/_workspace(?:/src)?|contrib/upstream|libs/ext)/([^/]+)/"
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +124,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def measure(text: str, repository: str, tokens: Tokens) -> dict:
-    """What the text alone says: shares of repeated lines and literals, line lengths, notice, shingles."""
+    """What the text alone says: its shingles, distinct masked ones a token, share of literals, lengths, notice."""
     t = text.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     comments: list[str] = []
 
@@ -132,32 +137,26 @@ def measure(text: str, repository: str, tokens: Tokens) -> dict:
     if any(c in (said := "\n".join(comments)) for c in _CUES):
         noted = [c for c in comments if _NOTICE.search(c)]
         notice = bool(noted) and not (repository and any(repository.lower() in c for c in noted)) and bool(said)
-    lengths = [len(x) for x in body.split("\n")]
     ids = tokens.of(body)
     kind = tokens.kind[ids]
     code = kind != Tokens.LINE
+    n = int(code.sum())
     size = np.where(code, tokens.size[ids], 0)
     given = kind == Tokens.LITERAL
     # one long literal in a program makes no blob: literals must be many of the tokens too
-    literal = float(size[given].sum() / size.sum()) if code.any() and given.sum() >= 0.25 * code.sum() else 0.0
+    literal = float(size[given].sum() / size.sum()) if n and given.sum() >= 0.25 * n else 0.0
     named = size[kind == Tokens.IDENTIFIER]
-    masked = tokens.masked[ids]
-    repeated = 0.0
-    if code.any():
-        line = np.cumsum(~code)[code]
-        begin = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-        place = np.arange(len(line)) - np.repeat(begin, np.diff(np.append(begin, len(line))))
-        pattern = np.add.reduceat(masked[code] * _POWERS[place % len(_POWERS)], begin)
-        times = np.sort(np.unique(pattern, return_counts=True)[1])[::-1][:3]
-        repeated = float(times[times >= MIN_UNITS].sum() / len(begin))
+    masked = shingles(tokens.masked[ids][code])
     return {
-        "repeated": repeated, "literal": literal, "name_length": float(named.mean()) if len(named) else 0.0, "line_length": max(lengths), "notice": notice,
-        "masked": shingles(masked[code]), "raw": shingles(tokens.raw[ids][code]),
+        "density": len(masked) / max(1, n - SHINGLE + 1), "literal": literal, "name_length": float(named.mean()) if len(named) else 0.0,
+        "line_length": max(map(len, body.split("\n"))), "notice": notice, "masked": masked, "raw": shingles(tokens.raw[ids][code]),
     }
 
 
-_FIELDS = ["path", "repo", "repeated", "literal", "name_length", "line_length", "notice", "masked_key", "masked_set", "masked_bands", "raw_key", "raw_set", "raw_bands"]
-_MEASURED = "path string, repo string, repeated double, literal double, name_length double, line_length int, notice boolean, masked_key long, masked_set array<int>, masked_bands array<long>, raw_key long, raw_set array<int>, raw_bands array<long>"
+VIEWS = ("masked", "raw")
+_MEASURES = ["density", "literal", "name_length", "line_length", "notice"]
+_FIELDS = ["path", "repo", *_MEASURES, "masked_key", "masked_set", "masked_bands", "raw_key", "raw_set", "raw_bands"]
+_MEASURED = "path string, repo string, density double, literal double, name_length double, line_length int, notice boolean, masked_key long, masked_set array<int>, masked_bands array<long>, raw_key long, raw_set array<int>, raw_bands array<long>"
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,9 +168,9 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for path, text in zip(part["path"], part["file_text"]):
                 repo = path.split("/", 1)[0] if "/" in path else ""
                 m = measure(text, repo, tokens)
-                row = [path, repo, m["repeated"], m["literal"], m["name_length"], m["line_length"], m["notice"]]
-                for h in (m["masked"], m["raw"]):
-                    row += [xxhash.xxh64_intdigest(h.tobytes()) - 2**63 if len(h) else None, h, bands(h)]
+                row = [path, repo, *(m[k] for k in _MEASURES)]
+                for k, h in enumerate((m["masked"], m["raw"])):  # a key is of one view
+                    row += [xxhash.xxh64_intdigest(h.tobytes(), k) - 2**63 if len(h) else None, h, bands(h)]
                 out.append(row)
             yield pd.DataFrame(out, columns=_FIELDS).astype({"masked_key": "Int64", "raw_key": "Int64"})
 
@@ -192,14 +191,32 @@ def _join(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For each set the least number of a set that links of SIMILAR or more, each between a left and a right set, join it to.
 
-    All pairs of a left and a right set are counted exactly, but for those whose sizes alone rule it out: tokens are
-    taken in chunks of columns, as a product of matrices, over strips of sets sorted by size.
+    No link is lost: pairs are counted exactly, but for those whose sizes alone rule it out and those that links found
+    before have joined already. Where left and right are the same, single sets are compared with all others first, each
+    taken from outside the largest class so far; then only the sets outside of that class are compared with all. Tokens
+    are counted in chunks of columns, as a product of matrices, over strips of sets sorted by size.
     """
     labels = np.arange(len(sets))
     size = np.array([len(x) for x in sets], np.int64)
-    left, right = (x[np.argsort(size[x], kind="stable")] for x in (left, right))
-    same = np.array_equal(left, right)
     vocabulary, column = np.unique(np.concatenate(sets), return_inverse=True)
+    if np.array_equal(left, right) and len(left) > PIVOTS:
+        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+        outside = left
+        for k in range(PIVOTS):
+            pivot = outside[(k * 7919) % len(outside)]
+            held = np.zeros(len(vocabulary), np.int64)
+            held[column[begin[pivot] : begin[pivot] + size[pivot]]] = 1
+            found = np.add.reduceat(held[column], begin)
+            near = left[found[left] >= SIMILAR * (size[left] + size[pivot] - found[left]) - 1e-6]
+            labels = _join(labels, np.full(len(near), pivot), near)
+            names, times = np.unique(labels[left], return_counts=True)
+            outside = left[labels[left] != names[times.argmax()]]
+            if len(outside) <= len(left) // 50:
+                break
+        left = outside
+    left, right = (x[np.argsort(size[x], kind="stable")] for x in (left, right))
+    if not len(left):
+        return labels
     # a token of one set alone is in no pair
     many = np.bincount(column) > 1
     row = np.repeat(np.arange(len(sets)), size)[many[column]]
@@ -209,15 +226,13 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
     strips = []
     for s in range(0, len(left), STRIP):
         part = size[left[s : s + STRIP]]
-        lo, hi = np.searchsorted(size[right], (SIMILAR * part[0] - 1e-9, part[-1] / SIMILAR + 1e-9))
-        strips.append((slice(s, s + STRIP), slice(max(lo, s) if same else lo, hi)))
+        strips.append((slice(s, s + STRIP), slice(*np.searchsorted(size[right], (SIMILAR * part[0] - 1e-9, part[-1] / SIMILAR + 1e-9)))))
     common = [np.zeros((len(left[a]), len(right[b])), np.float32) for a, b in strips]
     for c in range(0, int(many.sum()), COLUMNS):
         at = slice(*np.searchsorted(column, (c, c + COLUMNS)))
         dense = np.zeros((len(sets), COLUMNS), np.float32)
         dense[row[at], column[at] - c] = 1
-        x = dense[left]
-        y = x if same else dense[right]
+        x, y = dense[left], dense[right]
         for (a, b), found in zip(strips, common):
             found += x[a] @ y[b].T
     for (a, b), found in zip(strips, common):
@@ -228,40 +243,64 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
 
 
 def _links(d: pd.DataFrame) -> pd.DataFrame:
-    """Links of the buckets, or of the two parts of one, that a group holds."""
-    out = [pd.DataFrame({"set_key": [], "centre": []}, dtype="int64")]
+    """Links of the buckets, or parts of buckets, that a group holds: all pairs of a rest and another member."""
+    out = [pd.DataFrame({"u": [], "v": []}, dtype="int64")]
     for _, g in d.groupby(["band", "bucket", "p", "q"], sort=False):
-        g = g.sort_values("set_key")
-        keys, part = g["set_key"].to_numpy(), g["part"].to_numpy()
-        left, right = np.flatnonzero(part == g["p"].iloc[0]), np.flatnonzero(part == g["q"].iloc[0])
+        g = g.groupby("set_key", sort=True).agg({"shingles": "first", "rest": "max", "other": "max"})
+        keys = g.index.to_numpy()
+        left, right = np.flatnonzero(g["rest"]), np.flatnonzero(g["other"])
         if len(left) and len(right):
             labels = linked(g["shingles"].to_list(), left, right)
             moved = np.flatnonzero(labels != np.arange(len(labels)))
-            out.append(pd.DataFrame({"set_key": keys[moved], "centre": keys[labels[moved]]}))
+            out.append(pd.DataFrame({"u": keys[moved], "v": keys[labels[moved]]}))
     return pd.concat(out)
 
 
-def links(measured: DataFrame, view: str) -> DataFrame:
-    """(set_key, centre), the greater and the lesser key: links that join what similar distinct sets of a view join.
+def _compared(tasks: DataFrame, classes: DataFrame, groups: int) -> DataFrame:
+    """(u, v) of tasks: (set_key, band, bucket, p, q, hot, rest, other). Parts of hot buckets are groups of their own,
+    the other buckets share groups."""
+    task = F.when(F.col("hot"), F.xxhash64("band", "bucket", "p", "q")).otherwise(F.pmod(F.xxhash64("band", "bucket"), F.lit(groups)))
+    return tasks.withColumn("task", task).drop("hot").join(classes.select("set_key", "shingles"), "set_key").groupBy("task").applyInPandas(_links, "u long, v long")
+
 
-    Equal sets are one class from the start, whatever their number. Of each band's bucket every pair of classes is
-    compared by the exact share of common shingles. A bucket of more than BLOCK classes is split into parts, and each
-    two parts are compared in a task of their own; smaller ones share tasks. A task gives a forest of its links.
+def clusters(classes: DataFrame) -> DataFrame:
+    """(u, v): each set of a cluster with the least set of it, which has no row; a set without links has none either.
+
+    classes: (view, set_key, shingles, bands), distinct sets; the numbers of a view's bands are its own, so that only sets
+    of one view meet. Clusters are the connected components of the links between sets that share a band's bucket and are
+    similar by the exact share of common shingles. They are found in two rounds. First, in the buckets of the FIRST bands
+    of a view, parts of at most about BLOCK sets are compared whole, each with the bucket's least and greatest set in it.
+    What these links join needs no further comparison: then, in each bucket of all bands whose sets aren't all joined yet,
+    the sets outside the bucket's largest joined group are compared with all that their sizes allow. So no link that joins
+    two groups is lost, and a bucket of texts that are all near each other costs time in proportion to its sets, not to
+    their pairs.
     """
-    key, of_set, of_bands = (F.col(f"{view}_{x}") for x in ("key", "set", "bands"))
-    classes = measured.where(key.isNotNull()).select(key.alias("set_key"), of_bands.alias("bands")).dropDuplicates(["set_key"])
-    banded = classes.select("set_key", F.posexplode("bands").alias("band", "bucket"))
-    sizes = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(banded.join(sizes, ["band", "bucket"]))
-    groups = F.lit(members.count() // BLOCK + 1)
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("set_key"), parts).cast("int").alias("part")
-    spread = members.select("set_key", "band", "bucket", "n", part, F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
-    spread = spread.withColumn("p", F.least("part", "with")).withColumn("q", F.greatest("part", "with"))
-    small = F.pmod(F.xxhash64("band", "bucket"), groups)
-    spread = spread.withColumn("task", F.when(F.col("n") <= BLOCK, small).otherwise(F.xxhash64("band", "bucket", "p", "q"))).drop("n", "with")
-    sets = measured.where(key.isNotNull()).select(key.alias("set_key"), of_set.alias("shingles")).join(members.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(["set_key"])
-    return spread.join(sets, "set_key").groupBy("task").applyInPandas(_links, "set_key long, centre long")
+    banded = classes.select("set_key", F.size("shingles").alias("size"), "view", F.posexplode("bands").alias("b", "bucket")).withColumn("band", F.col("view") * BANDS + F.col("b")).drop("view", "b")
+    sizes = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("least"), F.max("set_key").alias("greatest")).where("n > 1")
+    members = cut(banded.join(sizes.select("band", "bucket", "n"), ["band", "bucket"]))
+    groups = members.count() // BLOCK + 1
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("set_key"), parts(n)).cast("int")
+    every, hot, is_first = F.lit(True), F.col("n") > BLOCK, F.col("band") % BANDS < FIRST
+    cols = ["set_key", "band", "bucket", "p", F.lit(0).alias("q"), hot.alias("hot"), every.alias("rest"), every.alias("other")]
+    ends = sizes.where(is_first & hot).withColumn("set_key", F.explode(F.array("least", "greatest"))).withColumn("p", F.explode(F.sequence(F.lit(0), parts("n") - 1)))
+    tasks = members.where(is_first).withColumn("p", part("n")).select(*cols).unionByName(ends.select(*cols))
+    joined = components(_compared(tasks, classes, groups))
+
+    placed = cut(members.join(joined.withColumnRenamed("u", "set_key"), "set_key", "left").withColumn("joined", F.coalesce("v", "set_key")).drop("v"))
+    held = placed.groupBy("band", "bucket", "joined").agg(F.count(F.lit(1)).alias("m"), F.min("size").alias("lo"), F.max("size").alias("hi"))
+    largest = held.groupBy("band", "bucket").agg(F.max(F.struct("m", "joined")).alias("top"), F.sum("m").alias("all")).where("top.m < all")
+    rest = held.join(largest, ["band", "bucket"]).where(F.col("joined") != F.col("top.joined")).groupBy("band", "bucket").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("top.joined").alias("largest"), F.sum("m").alias("n_rest")
+    )
+    fits = (F.col("size") >= SIMILAR * F.col("lo") - 1e-9) & (F.col("size") <= F.col("hi") / SIMILAR + 1e-9)
+    open_ = placed.where(~is_first | hot).join(rest, ["band", "bucket"]).where(fits).withColumn("is_rest", F.col("joined") != F.col("largest"))
+    cols = ["set_key", "band", "bucket", "p", "q", hot.alias("hot"), "rest", "other"]
+    whole = open_.where(~hot).withColumns({"p": F.lit(0), "q": F.lit(0), "rest": F.col("is_rest"), "other": every})
+    left = open_.where(hot & F.col("is_rest")).withColumns({"p": part("n_rest"), "q": F.explode(F.sequence(F.lit(0), parts("n") - 1)), "rest": every, "other": ~every})
+    right = open_.where(hot).withColumns({"q": part("n"), "p": F.explode(F.sequence(F.lit(0), parts("n_rest") - 1)), "rest": ~every, "other": every})
+    tasks = whole.select(*cols).unionByName(left.select(*cols)).unionByName(right.select(*cols))
+    return components(joined.unionByName(_compared(tasks, classes, groups)))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -274,7 +313,7 @@ def components(pairs: DataFrame) -> DataFrame:
     while not _stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
@@ -283,29 +322,28 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def _stars(edges: DataFrame) -> bool:
     """Whether each u has one v, and no v is a u."""
-    twice = edges.groupBy("u").count().where("count > 1").limit(1).count()
-    return not twice and not edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("above")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("above")))
+    odd = ends.groupBy("x").agg(F.sum("above").alias("n"), F.min("above").alias("low")).where("n > 1 or n = 1 and low = 0")
+    return not odd.limit(1).count()
 
 
-def clusters(measured: DataFrame, view: str) -> DataFrame:
-    """(set_key, cluster): each distinct shingle set of a view with the least set of its cluster.
+def families(measured: DataFrame) -> DataFrame:
+    """(view, set_key, n_files, n_repos, in_repo, density, literal, name_length, line_length): one row a distinct set, with
+    what its cluster has in all its files: their number, that of repositories, the most of one repository, and averages.
 
-    Clusters are the connected components of the verified links; the least set of one, and a set without links, is its
-    own cluster and has no row.
+    Files are added up by class and repository before they meet, so hot classes are small.
     """
-    pairs = links(measured, view).select(F.col("set_key").alias("u"), F.col("centre").alias("v"))
-    return components(pairs).select(F.col("u").alias("set_key"), F.col("v").alias("cluster"))
-
-
-def _stats(measured: DataFrame, view: str) -> DataFrame:
-    """The files with the shares of their cluster in a view: (path, ..., g_repeated, g_literal, repos)."""
-    files = measured.select("path", "repo", "repeated", "literal", "name_length", "line_length", "notice", F.col(f"{view}_key").alias("set_key"))
-    # first by class, then by cluster: what is joined back to the files is one row a class
-    classes = files.where("set_key is not null").groupBy("set_key").agg(F.sum("repeated").alias("r"), F.sum("literal").alias("l"), F.count(F.lit(1)).alias("n"), F.min("repo").alias("r1"), F.max("repo").alias("r2"))
-    placed = classes.join(clusters(measured, view), "set_key", "left").withColumn("cluster", F.coalesce("cluster", "set_key"))
-    whole = placed.groupBy("cluster").agg((F.sum("r") / F.sum("n")).alias("g_repeated"), (F.sum("l") / F.sum("n")).alias("g_literal"), (F.min("r1") != F.max("r2")).alias("spans"))
-    by_class = placed.select("set_key", "cluster").join(whole, "cluster").drop("cluster")
-    return files.join(by_class, "set_key", "left")
+    averages = ("density", "literal", "name_length", "line_length")
+    views = F.explode(F.array(*[F.struct(F.lit(k).alias("view"), *[F.col(f"{v}_{x}").alias(y) for x, y in (("key", "set_key"), ("set", "shingles"), ("bands", "bands"))]) for k, v in enumerate(VIEWS)]))
+    sets = measured.select("repo", *averages, views.alias("x")).select("repo", *averages, "x.*").where("set_key is not null")
+    found = clusters(cut(sets.select("view", "set_key", "shingles", "bands").dropDuplicates(["set_key"])))
+    classes = sets.groupBy("view", "set_key", "repo").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in averages])
+    placed = cut(classes.join(found.select(F.col("u").alias("set_key"), F.col("v").alias("cluster")), "set_key", "left").withColumn("cluster", F.coalesce("cluster", "set_key")))
+    by_repo = placed.groupBy("cluster", "repo").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in averages])
+    whole = by_repo.groupBy("cluster").agg(
+        F.sum("n").alias("n_files"), F.count(F.lit(1)).alias("n_repos"), F.max("n").alias("in_repo"), *[(F.sum(c) / F.sum("n")).alias(c) for c in averages]
+    )
+    return placed.select("view", "set_key", "cluster").distinct().join(whole, "cluster").drop("cluster")
 
 
 def libraries(paths: DataFrame) -> DataFrame:
@@ -319,26 +357,40 @@ def libraries(paths: DataFrame) -> DataFrame:
 
 
 def not_hand_written(code_files: DataFrame, file_texts: DataFrame) -> DataFrame:
-    """(relative_path, kind): catalogued paths whose file is generated, minified, vendored or a blob.
-
-    Decided over clusters of files, a file like no other being its own cluster. In clusters of masked shingles:
-    ``blob`` where literals make up most of the code, ``generated`` where most lines are of at most three patterns that
-    come again and again. ``vendored`` where a cluster of raw shingles spans repositories, where a comment of the
-    file is a notice that doesn't name its own project, or where its path lies in a library's folder. ``minified``
-    by long lines of short names. A path with several texts is taken if one of them is; one without a text or with an
-    empty one only by its path. Null and blank paths are none. Extra columns don't matter.
+    """(relative_path, kind, evidence): catalogued paths whose file is generated, minified, vendored or a blob.
+
+    Files are clustered by their masked shingles, and by their raw ones. Of a cluster of masked shingles with several files
+    in one repository, the averages over all its files decide for each of them (evidence ``family``): ``blob`` where
+    literals make up most of the code; otherwise it is machine-made where it has few distinct shingles for its tokens,
+    ``minified`` with long lines of short names, else ``generated``. A file whose cluster has no two files in any
+    repository must show more by itself (``alone``). ``vendored`` is a file that is no such data and that has a near twin
+    by raw shingles in another repository (``copy``).
+
+    Beside the clusters two kinds of evidence make a file ``vendored``: a ``notice`` in its comments that doesn't name its
+    own project, and the ``folder`` of a library. A path with several texts is taken if one of them is; one without a text
+    or with an empty one only by its folder. Null and blank paths are none. Extra columns don't matter.
     """
     catalogued = code_files.select(norm_path("relative_path").alias("path")).where("path is not null").distinct()
     texts = file_texts.select(norm_path("relative_path").alias("path"), "file_text").where("path is not null and trim(file_text) <> ''")
     measured = shared_table(texts.mapInPandas(_measure, _MEASURED), "measured")
-    m, r = _stats(measured, "masked"), _stats(measured, "raw")
-    small = (F.col("line_length") >= LONG_LINE) & (F.col("name_length") < MANGLED) & (F.col("literal") < LITERAL)
-    kind = F.when(F.col("g_literal") >= LITERAL, "blob").when(F.col("g_repeated") >= REPETITIVE, "generated")
-    copied = F.col("spans") & (F.col("g_repeated") < REPETITIVE) & (F.col("g_literal") < LITERAL)
-    by_text = m.where("set_key is not null").select("path", kind.alias("kind")).unionByName(r.select("path", F.when(F.col("notice") | copied, "vendored").when(small, "minified").alias("kind"))).where("kind is not null")
+    family = F.col("in_repo") >= 2
+    limit = lambda a, b: F.when(family, a).otherwise(b)
+    made = F.when(F.col("literal") >= limit(LITERAL, LITERAL_ALONE), "blob").when(
+        F.col("density") <= limit(TEMPLATE, TEMPLATE_ALONE), F.when((F.col("line_length") >= LONG_LINE) & (F.col("name_length") < MANGLED), "minified").otherwise("generated")
+    )
+    of = cut(families(measured))
+    machine = of.where(F.col("view") == VIEWS.index("masked")).select(F.col("set_key").alias("masked_key"), made.alias("kind"), limit(F.lit("family"), F.lit("alone")).alias("evidence")).where("kind is not null")
+    copies = of.where((F.col("view") == VIEWS.index("raw")) & (F.col("n_repos") > 1)).select(F.col("set_key").alias("raw_key"), F.lit(True).alias("copied"))
+    files = measured.select("path", "notice", "masked_key", "raw_key").join(machine, "masked_key", "left").join(copies, "raw_key", "left")
+    vendored = F.lit("vendored")
+    pick = lambda when, kind, evidence: F.when(when, F.struct(kind.alias("kind"), evidence.alias("evidence")))
+    by_text = files.select("path", F.explode(F.array_compact(F.array(
+        pick(F.col("kind").isNotNull(), F.col("kind"), F.col("evidence")), pick(F.col("kind").isNull() & F.col("copied"), vendored, F.lit("copy")), pick(F.col("notice"), vendored, F.lit("notice"))
+    ))).alias("f")).select("path", "f.*")
     all_paths = catalogued.union(measured.select("path")).distinct()
-    by_path = libraries(all_paths).select("path", F.lit("vendored").alias("kind"))
+    by_path = libraries(all_paths).select("path", vendored.alias("kind"), F.lit("folder").alias("evidence"))
     order = F.array(*map(F.lit, ("vendored", "blob", "minified", "generated")))
-    found = by_text.unionByName(by_path).groupBy("path").agg(F.min(F.array_position(order, F.col("kind"))).alias("k"))
-    found = found.select("path", order[(F.col("k") - 1).cast("int")].alias("kind"))
-    return catalogued.join(found, "path").select(F.col("path").alias("relative_path"), "kind")
+    sure = F.array(*map(F.lit, ("family", "copy", "alone", "notice", "folder")))
+    best = F.min(F.struct(F.array_position(order, F.col("kind")).alias("k"), F.array_position(sure, F.col("evidence")).alias("s"), "kind", "evidence"))
+    found = by_text.unionByName(by_path).groupBy("path").agg(best.alias("b"))
+    return catalogued.join(found, "path").select(F.col("path").alias("relative_path"), "b.kind", "b.evidence")

@@ -1,5 +1,6 @@
 import html
 import json
+import os
 import random
 
 import numpy as np
@@ -222,10 +223,14 @@ def kinds_of(spark, files):
     return {r.relative_path: r.kind for r in got.collect()}
 
 
-def measured_sets(spark, sets, buckets):
-    """Measured rows of one band: (set_key, raw set, bucket), as the clustering reads them."""
-    rows = [(k, [int(x) for x in s], [b]) for (k, s), b in zip(sets.items(), buckets)]
-    return spark.createDataFrame(rows, "raw_key long, raw_set array<int>, raw_bands array<long>")
+def as_classes(spark, sets, buckets):
+    """Distinct sets with their buckets, as the clustering reads them."""
+    rows = [(0, k, [int(x) for x in s], b) for (k, s), b in zip(sets.items(), buckets)]
+    return spark.createDataFrame(rows, "view int, set_key long, shingles array<int>, bands array<long>")
+
+
+def clusters_of(spark, sets, buckets):
+    return {tuple(r) for r in source_kind.clusters(as_classes(spark, sets, buckets)).collect()}
 
 
 def brute_force(sets):
@@ -245,8 +250,23 @@ def test_pairs_apart_from_the_least_key_of_a_bucket(spark, monkeypatch):
     sets = {1: set(range(1050, 1150)), 2: base, 3: base - {1000} | {1}, 4: set(range(2000, 2050)), 5: set(range(2000, 2049))}
     for block in (4000, 2):  # in one task, and in parts compared two by two
         monkeypatch.setattr(source_kind, "BLOCK", block)
-        got = {tuple(r) for r in source_kind.clusters(measured_sets(spark, sets, [7] * 5), "raw").collect()}
-        assert got == {(3, 2), (5, 4)} == brute_force(sets)
+        assert clusters_of(spark, sets, [[7]] * 5) == {(3, 2), (5, 4)} == brute_force(sets)
+
+
+@pytest.mark.parametrize("block,first,pivots", [(4000, 2, 64), (9, 1, 2), (5, 2, 3), (11, 0, 0)])
+def test_clusters_against_brute_force(spark, monkeypatch, block, first, pivots):
+    for name, v in (("BLOCK", block), ("FIRST", first), ("PIVOTS", pivots), ("STRIP", 3)):
+        monkeypatch.setattr(source_kind, name, v)
+    rnd = np.random.default_rng(16)
+    sets, buckets = {}, []
+    for c in range(9):  # chains of sets, each similar to the next; some begin half similar to another chain
+        s = set(rnd.integers(0, 10**6, 60).tolist()) if c % 3 else set(list(range(40)) + rnd.integers(100, 10**6, 20).tolist())
+        for _ in range(8):
+            key = int(rnd.integers(-(2**62), 2**62))
+            sets[key] = s
+            buckets.append([1, int(rnd.integers(0, 2))])  # all meet in the first band
+            s = s - set(sorted(s)[:3]) | set(rnd.integers(0, 10**6, 3).tolist())
+    assert clusters_of(spark, sets, buckets) == brute_force(sets)
 
 
 def test_linked_sets_against_brute_force(monkeypatch):
@@ -273,11 +293,9 @@ def test_chains_are_one_cluster(spark, keys):
     middle, x, z = keys
     base = set(range(1000, 1100))
     sets = {middle: base, x: base - set(range(1000, 1015)), z: base - set(range(1085, 1100))}  # x and z share 70 of 100
-    got = {tuple(r) for r in source_kind.clusters(measured_sets(spark, sets, [7, 7, 7]), "raw").collect()}
-    assert got == {(2, 1), (3, 1)} == brute_force(sets)
+    assert clusters_of(spark, sets, [[7]] * 3) == {(2, 1), (3, 1)} == brute_force(sets)
     # the links of two buckets that have only the middle one in common
-    apart = spark.createDataFrame([(k, [int(v) for v in s], b) for (k, s), b in zip(sets.items(), ([7, 8], [7, 1], [2, 8]))], "raw_key long, raw_set array<int>, raw_bands array<long>")
-    assert {tuple(r) for r in source_kind.clusters(apart, "raw").collect()} == got
+    assert clusters_of(spark, sets, ([7, 8], [7, 1], [2, 8])) == {(2, 1), (3, 1)}
 
 
 def test_components_of_a_long_path(spark):
@@ -287,13 +305,35 @@ def test_components_of_a_long_path(spark):
     assert got == {(k, 0) for k in range(1, 60)} | {(101, 100), (103, 102)}
 
 
-def test_short_members_of_a_generated_family(spark):
+def test_the_family_decides(spark, monkeypatch):
     rnd = random.Random(14)
-    getters = lambda n: "\n".join(f"  int get{rnd.choice('ABCDEF')}{i}() {{ return f{i}; }}" for i in range(n))
-    files = [("one/short.java", getters(4))] + [(f"one/long{n}.java", getters(n)) for n in (30, 35, 40)] + [(f"one/m{k}.ts", hand(rnd)) for k in range(4)]
-    # too few lines to repeat by itself, but of the very patterns of its family
-    assert source_kind.measure(files[0][1], "one", source_kind.Tokens())["repeated"] == 0
-    assert kinds_of(spark, files) == {p: "generated" for p, _ in files[:4]}
+    getters = lambda n, end: "\n".join(f"  int get{rnd.choice('ABCDEF')}{i}() {{ return f{i}; }}\n  void set{i}(int v) {{ this.f{i} = v; }}" for i in range(n)) + end
+    files = [("one/short.java", getters(4, "}"))] + [(f"one/long{n}.java", getters(n, ";" * (n - 29))) for n in (30, 31, 32)] + [("two/short.java", getters(4, "]"))] + [(f"one/m{k}.ts", hand(rnd)) for k in range(4)]
+    # too short to show anything by itself, but of the very patterns of its family
+    assert source_kind.measure(files[0][1], "one", source_kind.Tokens())["density"] > source_kind.TEMPLATE
+    assert kinds_of(spark, files) == {p: "generated" for p, _ in files[:5]}
+    # two files alike in two repositories are no family: nothing in one repository repeats
+    assert kinds_of(spark, [files[0], files[4]]) == {}
+    none = spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(source_kind, "clusters", lambda classes: none)
+    assert kinds_of(spark, files) == {p: "generated" for p, _ in files[1:4]}
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the test data")
+def test_pairs_found_by_banding():
+    """Of the pairs of files whose masked or raw shingles are similar at 0.8 or more, at least 0.9 share a band."""
+    import pyarrow.parquet as pq
+
+    tokens, found, there = source_kind.Tokens(), 0, 0
+    measures = [source_kind.measure(t, "", tokens) for t in pq.read_table("/root/testdata/sf0.01/file_texts.parquet")["file_text"].to_pylist() if t]
+    for view in source_kind.VIEWS:
+        sets = list({m[view].tobytes(): m[view] for m in measures if len(m[view])}.values())
+        held = [set(enumerate(source_kind.bands(s))) for s in sets]
+        for i in range(len(sets)):
+            for j in range(i):
+                if 0.8 * len(sets[i]) <= len(sets[j]) <= len(sets[i]) / 0.8 and len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 4 / 9 * (len(sets[i]) + len(sets[j])):
+                    there, found = there + 1, found + bool(held[i] & held[j])
+    assert there > 1000 and found >= 0.99 * there
 
 
 def test_banding_at_the_threshold():
