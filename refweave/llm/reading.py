@@ -17,10 +17,12 @@ MIN_WORDS = 30
 MOSTLY = 0.5
 #: At most so many graded texts are taken for training (those with the lowest ids); all texts are scored.
 MAX_GRADED = 20_000
+#: The ranker learns from all pairs of texts of different levels, or from so many of them drawn evenly where there are more.
+MAX_PAIRS = 200_000
 #: A word is a feature when so many graded texts have it.
 MIN_TEXTS = 3
 
-# Frequent words of the languages told apart (fixed values).
+# Frequent words of the languages told apart, chosen by hand.
 _STOP = {
     "en": "the a an this that these those each every any our your my its his her their some such one and or but nor so of in on at by to for with from into over under after before during without within between is are was were be been being has have had does do did will would can could may might must shall should not no if when while whereas because although unless until which who whose what where there here it we you they he she i as than then also only both either neither all most more many few other another same",
     "de": "der die das den dem des ein eine einen einem einer eines und oder aber nicht ist sind war wird werden wurde wurden hat haben kann muss soll mit von zu zum zur im am auf aus bei nach vor wenn weil dass ob als wie auch noch nur durch für über unter zwischen jede jeder jedes diese dieser dieses kein keine sich es wir sie er sobald zuerst",
@@ -127,8 +129,8 @@ class Tokens:
 SYNTAX = ("sentence words", "commas", "letters", "long words", "English words")
 
 
-def features(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vocabulary rates, syntax, sums of Tokens' fields), one row a text."""
+def features(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, syntax, sums): the text and the feature of each token that is one, then syntax and sums of Tokens' fields, one row a text."""
     if len(tokens.known) > Tokens.LIMIT:
         tokens.clear()
     get, number = tokens.known.get, tokens.number
@@ -144,7 +146,7 @@ def features(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
     info = np.array(tokens.rows, np.float32)[at]
     # a sentence ends where words have come since the last end
     is_end = info[:, Tokens.END] > 0
-    words_before = np.cumsum(info[:, Tokens.WORD])
+    words_before = np.cumsum(info[:, Tokens.WORD], dtype=np.float64)
     ends = np.flatnonzero(is_end)
     real = np.zeros(len(at), np.float32)
     if len(ends):
@@ -154,15 +156,10 @@ def features(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
     sums = np.add.reduceat(info, begin, axis=0).astype(np.float64)
     n = np.maximum(sums[:, Tokens.WORD], 1)
     sentences = np.maximum(sums[:, Tokens.END], 1)
-    rates = np.zeros((len(texts), len(tokens.vocabulary)))
-    feature = np.array(tokens.feature, np.int64)[at]
-    row = np.repeat(np.arange(len(texts)), sizes)
-    has = feature >= 0
-    if len(tokens.vocabulary):
-        flat = np.bincount(row[has] * len(tokens.vocabulary) + feature[has], minlength=rates.size)
-        rates = flat.reshape(rates.shape) / n[:, None]
+    word = np.array(tokens.feature, np.int64)[at]
+    has = word >= 0
     syntax = np.column_stack((np.log(n / sentences), sums[:, Tokens.COMMA] / sentences, sums[:, Tokens.LETTERS] / n, sums[:, Tokens.LONG] / n, sums[:, Tokens.ENGLISH] / n))
-    return rates, syntax, sums
+    return np.repeat(np.arange(len(texts)), sizes)[has], word[has], syntax, sums
 
 
 def is_english_prose(sums: np.ndarray, outside: np.ndarray) -> np.ndarray:
@@ -172,17 +169,51 @@ def is_english_prose(sums: np.ndarray, outside: np.ndarray) -> np.ndarray:
     return (n >= MIN_WORDS) & (n > MOSTLY * (n + outside)) & (english >= 0.15 * n) & (english > 2 * other) & (sums[:, Tokens.FOREIGN] < 0.3 * n)
 
 
-def fit_ranker(x: np.ndarray, level: np.ndarray, penalty: float = 1.0, steps: int = 300) -> np.ndarray:
-    """Weights w of scores x @ w that put the higher of two levels above, by logistic loss over all pairs."""
-    i, j = np.nonzero(level[:, None] > level[None, :])
+class Design:
+    """The texts' features, standardised: word rates, of which only those above zero are held, and syntax."""
+
+    def __init__(self, row: np.ndarray, word: np.ndarray, syntax: np.ndarray, sums: np.ndarray, n_words: int) -> None:
+        self.n, self.n_words, self.syntax = len(syntax), n_words, syntax
+        cell, times = np.unique(row * max(1, n_words) + word, return_counts=True)
+        self.row, self.word = np.divmod(cell, max(1, n_words))
+        self.rate = times / np.maximum(sums[self.row, Tokens.WORD], 1)
+        mean = np.bincount(self.word, self.rate, n_words) / self.n
+        spread = np.sqrt(np.maximum(np.bincount(self.word, self.rate**2, n_words) / self.n - mean**2, 0)) + 1e-9
+        self.mean = np.concatenate((mean, syntax.mean(axis=0)))
+        # many words, each a small part
+        self.scale = np.concatenate((spread * np.sqrt(max(1, n_words)) / 6, syntax.std(axis=0) + 1e-9))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        w = weights / self.scale
+        return np.bincount(self.row, self.rate * w[self.word], self.n) + self.syntax @ w[self.n_words :] - self.mean @ w
+
+    def pulled(self, pull: np.ndarray) -> np.ndarray:
+        """The transposed features times ``pull``."""
+        return (np.concatenate((np.bincount(self.word, self.rate * pull[self.row], self.n_words), self.syntax.T @ pull)) - self.mean * pull.sum()) / self.scale
+
+
+def level_pairs(level: np.ndarray, among: np.ndarray, max_pairs: int, rnd: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(higher, lower): the texts of ``among`` in pairs of different levels; all pairs, or ``max_pairs`` drawn evenly."""
+    by = [among[level[among] == k] for k in np.unique(level[among])]
+    blocks = [(by[a], by[b]) for a in range(len(by)) for b in range(a)]
+    sizes = np.array([len(x) * len(y) for x, y in blocks], np.int64)
+    if sizes.sum() <= max_pairs:
+        return np.concatenate([np.repeat(x, len(y)) for x, y in blocks]), np.concatenate([np.tile(y, len(x)) for x, y in blocks])
+    take = rnd.multinomial(max_pairs, sizes / sizes.sum())
+    return np.concatenate([rnd.choice(x, k) for (x, _), k in zip(blocks, take)]), np.concatenate([rnd.choice(y, k) for (_, y), k in zip(blocks, take)])
+
+
+def fit_ranker(x: Design, level: np.ndarray, among: np.ndarray, penalty: float = 1.0, steps: int = 300, max_pairs: int = MAX_PAIRS) -> np.ndarray:
+    """Weights of scores that put the higher of two levels above, by logistic loss over pairs of the texts ``among``."""
+    i, j = level_pairs(level, among, max_pairs, np.random.default_rng(1))
     gap = (level[i] - level[j]).astype(float)
     share = gap / gap.sum()
-    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    w, m, v = (np.zeros(len(x.mean)) for _ in range(3))
     for t in range(1, steps + 1):
-        s = x @ w
+        s = x.scores(w)
         c = share / (1 + np.exp(np.clip(s[i] - s[j], -30, 30)))
-        pull = np.bincount(i, c, len(x)) - np.bincount(j, c, len(x))
-        g = -(x.T @ pull) + penalty * 1e-3 * w
+        pull = np.bincount(i, c, x.n) - np.bincount(j, c, x.n)
+        g = -x.pulled(pull) + penalty * 1e-3 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
@@ -203,7 +234,7 @@ def isotonic(score: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class ReadingModel:
-    """Trained on graded texts; immutable and small, so it goes to every task."""
+    """Trained on graded texts; immutable, of one number a word of its vocabulary, so it goes to every task."""
 
     def __init__(self, texts: list[str], levels: list[int], folds: int = 5) -> None:
         plain = [prose(t)[0] for t in texts]
@@ -215,19 +246,17 @@ class ReadingModel:
             for w in {p.strip("\"'“”‘’`*_()[]{}<>.,;:!?…—–-").lower().replace("’", "'") for p in t.split() if first.rows[first.known[p]][Tokens.WORD]}:
                 seen[w] = seen.get(w, 0) + 1
         self.vocabulary = {w: k for k, w in enumerate(sorted(w for w, n in seen.items() if n >= MIN_TEXTS))}
-        rates, syntax, _ = features(Tokens(self.vocabulary), plain)
-        x = np.hstack((rates, syntax))
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        self.scale[: rates.shape[1]] *= np.sqrt(max(1, rates.shape[1])) / 6  # many words, each a small part
+        x = Design(*features(Tokens(self.vocabulary), plain), len(self.vocabulary))
         self.low, self.high = int(level.min()), int(level.max())
-        z = (x - self.mean) / self.scale
         # calibrated on scores of texts that the ranker hasn't seen
-        held = np.zeros(len(z))
-        fold = np.random.default_rng(0).permutation(len(z)) % folds
+        held = np.zeros(len(level))
+        fold = np.random.default_rng(0).permutation(len(level)) % folds
         for f in range(folds):
-            w = fit_ranker(z[fold != f], level[fold != f])
-            held[fold == f] = z[fold == f] @ w
-        self.weights = fit_ranker(z, level)
+            known = np.flatnonzero(fold != f)
+            if len(np.unique(level[known])) > 1:
+                held[fold == f] = x.scores(fit_ranker(x, level, known))[fold == f]
+        w = fit_ranker(x, level, np.arange(len(level))) / x.scale
+        self.word_weights, self.syntax_weights, self.shift = np.append(w[: x.n_words], 0.0), w[x.n_words :], float(x.mean @ w)
         self.steps = [(k, *isotonic(held, (level >= k).astype(float))) for k in range(self.low + 1, self.high + 1)]
         self.held_out = float(np.mean(self.grade(held) == level))
 
@@ -235,8 +264,9 @@ class ReadingModel:
         """The lowest level, and one more for each level that the score reaches rather than not."""
         return self.low + sum((np.interp(score, xs, share) >= 0.5).astype(np.int64) for _, xs, share in self.steps)
 
-    def level(self, rates: np.ndarray, syntax: np.ndarray) -> np.ndarray:
-        return self.grade((np.hstack((rates, syntax)) - self.mean) / self.scale @ self.weights)
+    def levels(self, row: np.ndarray, word: np.ndarray, syntax: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """The level of each text of :func:`features`."""
+        return self.grade(np.bincount(row, self.word_weights[word], len(syntax)) / np.maximum(sums[:, Tokens.WORD], 1) + syntax @ self.syntax_weights - self.shift)
 
 
 def train(graded: DataFrame, max_graded: int = MAX_GRADED) -> ReadingModel:
@@ -261,9 +291,8 @@ def reading_levels(documents: DataFrame, model: ReadingModel) -> DataFrame:
             for s in range(0, b.num_rows, 1000):
                 part = b.slice(s, 1000)
                 split = [prose(t) if t else ("", 0) for t in part.column(1).to_pylist()]
-                rates, syntax, sums = features(tokens, [p for p, _ in split])
-                ok = is_english_prose(sums, np.array([o for _, o in split], float))
-                levels = m.level(rates[ok], syntax[ok])
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), pa.array(levels.astype(np.int32))], ["doc_id", "reading_level"])
+                found = features(tokens, [p for p, _ in split])
+                ok = is_english_prose(found[-1], np.array([o for _, o in split], float))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), pa.array(m.levels(*found)[ok].astype(np.int32))], ["doc_id", "reading_level"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, reading_level int")

@@ -2,6 +2,9 @@ import html
 import json
 import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +15,8 @@ from refweave.llm import leak, reading, source_kind, tokenize
 from refweave.llm.fm_index import FMIndex, WaveletMatrix, suffix_array
 from refweave.llm.words import words
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
 
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=80), st.integers(1, 6))
@@ -168,6 +173,38 @@ def test_reading_levels(spark):
         reading.train(spark.createDataFrame([(1, 1, "a")], "text_id int, reading_level int, text string"))
 
 
+def test_pairs_of_levels():
+    level = np.random.default_rng(3).integers(1, 5, 60)
+    among, rnd = np.arange(5, 60), np.random.default_rng(4)
+    i, j = reading.level_pairs(level, among, 10**6, rnd)
+    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in among.tolist() for b in among.tolist() if level[a] > level[b]} and len(i) == len(set(zip(i.tolist(), j.tolist())))
+    i, j = reading.level_pairs(level, among, 300, rnd)
+    assert len(i) == 300 and (level[i] > level[j]).all() and min(i.min(), j.min()) >= 5
+
+
+def test_training_at_its_bound():
+    """20,000 graded texts, the most that are taken: under 2 GB and 5 minutes (45 s here), in a process of its own."""
+    code = f"""
+import random, resource, sys, time
+sys.path.insert(0, {ROOT!r})
+from refweave.llm import reading
+rnd = random.Random(1)
+lexicon = [f"{{a}}{{b}}{{c}}" for a in ("ba", "co", "du", "fe", "gi") for b in ("lan", "mor", "nit", "pal", "ran", "sten") for c in ("", "ing", "ation", "able", "ed", "s", "er", "ly")] * 4
+lexicon = [w + chr(97 + k % 26) * (k % 3) for k, w in enumerate(lexicon)]
+def text(level):
+    size = 4 + 4 * level
+    return " ".join(" ".join(rnd.choices(lexicon[60 * level : 60 * level + 400], k=size)).capitalize() + "." for _ in range(60 // size + 1))
+levels = [1 + k % 5 for k in range(reading.MAX_GRADED)]
+began = time.time()
+m = reading.ReadingModel([text(k) for k in levels], levels)
+print(m.held_out, time.time() - began, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 2**20)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=900)
+    assert out.returncode == 0, out.stderr
+    held_out, seconds, gigabytes = map(float, out.stdout.split())
+    assert held_out > 0.9 and seconds < 300 and gigabytes < 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(-9, 9), st.integers(1, 5)), min_size=1, max_size=30))
 def test_isotonic_is_the_best_monotone_fit(pairs):
