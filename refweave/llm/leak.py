@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -17,8 +19,8 @@ from refweave.llm.words import words
 RUN, SHARE = 30, 10  # running words; one in so many may differ
 SEED = 7  # words of a search phrase where the run is RUN long
 SHARD_WORDS = 1_000_000
-#: Items that together are longer are refused, as they go to every task.
-MAX_CHARACTERS = 200_000_000
+#: About so many characters of items go to a task at a time; of more, the documents are gone through in several passes.
+BLOCK_CHARACTERS = 10_000_000
 _STEP, _REACH, _BAND = 4, 9, 17  # diagonals: bucket step, reach of a bucket's hits, width of the alignment
 
 
@@ -30,36 +32,55 @@ class Passages:
     """
 
     def __init__(self, rows: list[tuple[str, str | None]]) -> None:
-        parsed = [(i, words(p)) for i, p in rows if i is not None]
-        by_words: dict[tuple, list[str]] = {}
-        for item, w in parsed:
-            if w:
-                by_words.setdefault(tuple(w), []).append(item)
-        self.items = list(by_words.values())  # items that carry the same passage
-        self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({x for p in by_words for x in p}))}  # 0: any other word
-        self.texts = [np.array([self.vocabulary[x] for x in p], np.int32) for p in by_words]
-        self.length = np.array([len(p) for p in self.texts], np.int64)
-        phrases: dict[int, dict[tuple, int]] = {}
-        self.need = np.ones(len(self.texts), np.int64)
-        uses: dict[int, list[tuple[int, int, int]]] = {}
-        self.shortest = SEED
-        for p, ids in enumerate(self.texts):
-            m = min(RUN, len(ids))
-            e = m // SHARE
-            k = min(SEED, -(-(m - e) // (e + 1)))
-            self.need[p] = max(1, m - k + 1 - k * e)
-            self.shortest = min(self.shortest, k)
-            known, use = phrases.setdefault(k, {}), uses.setdefault(k, [])
-            row = ids.tolist()
-            for at in range(len(row) - k + 1):
-                use.append((known.setdefault(tuple(row[at : at + k]), len(known)), p, at))
-        self.by_length = []
-        for k, known in phrases.items():
-            use = np.array(sorted(uses[k]), np.int64)
-            self.by_length.append((np.array(list(known), np.int64), use, np.searchsorted(use[:, 0], np.arange(len(known) + 1))))
-        self.padded = np.full((len(self.texts), int(self.length.max(initial=0))), -1, np.int32)
-        for p, ids in enumerate(self.texts):
-            self.padded[p, : len(ids)] = ids
+        carried: dict[str, list[str]] = {}
+        for item, passage in rows:
+            if item is not None and (w := words(passage)):
+                carried.setdefault(" ".join(w), []).append(item)
+        self.items = list(carried.values())  # items that carry the same passage
+        parsed = [p.split(" ") for p in carried]
+        self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({x for p in parsed for x in p}))}  # 0: any other word
+        self.length = np.array([len(p) for p in parsed], np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(self.length)))
+        self.flat = np.fromiter((self.vocabulary[x] for p in parsed for x in p), np.int32, int(self.begin[-1]))
+        m = np.minimum(RUN, self.length)
+        e = m // SHARE
+        k = np.minimum(SEED, -(-(m - e) // (e + 1)))
+        self.need = np.maximum(1, m - k + 1 - k * e)
+        self.shortest = int(k.min(initial=SEED))
+        self.by_length = [self._phrases(int(x), np.flatnonzero(k == x)) for x in np.unique(k)]
+
+    def __len__(self) -> int:
+        return len(self.items)
+
+    def _phrases(self, k: int, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct phrases of k words, passage and place of each use, first use of each phrase and the end)."""
+        n = self.length[passages] - k + 1
+        passage = np.repeat(passages, n)
+        place = np.arange(len(passage)) - np.repeat(np.cumsum(n) - n, n)
+        at = self.begin[passage] + place
+        bits = max(1, len(self.vocabulary).bit_length())
+        packed = []
+        for s in range(0, k, per := max(1, 62 // bits)):
+            key = np.zeros(len(at), np.int64)
+            for x in range(s, min(k, s + per)):
+                key = key << bits | self.flat[at + x]
+            packed.append(key)
+        order = np.lexsort(packed)
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = np.logical_or.reduce([key[order[1:]] != key[order[:-1]] for key in packed])
+        starts = np.flatnonzero(fresh)
+        return self.flat[at[order[starts], None] + np.arange(k)].astype(np.int64), passage[order], place[order], np.append(starts, len(order))
+
+
+_parsed: dict[str, Passages] = {}
+
+
+def _of_block(name: str, rows: list[tuple[str, str | None]]) -> Passages:
+    """The block's passages, parsed once in a Python worker."""
+    if name not in _parsed:
+        _parsed.clear()
+        _parsed[name] = Passages(rows)
+    return _parsed[name]
 
 
 def _segments(ids: np.ndarray, shortest: int) -> np.ndarray:
@@ -91,13 +112,14 @@ def _aligned(p: Passages, text: np.ndarray, lower: np.ndarray, upper: np.ndarray
     holds, first, last = np.zeros(n, bool), np.full(n, 1 << 60, np.int64), np.full(n, -1, np.int64)
     offs = np.arange(_BAND)[:, None]
     need = [np.maximum(goal, SHARE * e).astype(np.int32) for e in range(most + 1)]
-    padded = np.ascontiguousarray(p.padded[passage].T)
+    begin, last_word = p.begin[passage], len(p.flat) - 1
     around = text[np.clip(diagonal + offs, 0, len(text) - 1)]
     for i in range(int(length.max(initial=0))):
         at = diagonal + offs + i  # position in text of each diagonal
         if i:
             around = np.concatenate((around[1:], text[np.clip(at[-1:], 0, len(text) - 1)]))
-        same = (around == padded[i]) & (at >= lower) & (at < upper)
+        word = np.where(i < length, p.flat[np.minimum(begin + i, last_word)], -1)
+        same = (around == word) & (at >= lower) & (at < upper)
         now = np.where(same, np.minimum(best, np.int32(i)), np.int32(far)) if not places else np.where(same, np.where(best >= far, np.int32(i), best), np.int32(far))
         where = np.where(same, np.where(best >= far, at, begun), -1) if places else None
         for e in range(1, most + 1):
@@ -128,7 +150,7 @@ def search_shard(p: Passages, docs: list[np.ndarray], sample: int = 4) -> pd.Dat
     """(doc, passage, first, last): places where a document of the shard holds a passage, from which word to which."""
     none = pd.DataFrame({"doc": [], "passage": [], "first": [], "last": []}, dtype="int64")
     sizes = np.array([len(d) + 1 for d in docs], np.int64)
-    if not len(docs) or not len(p.texts):
+    if not len(docs) or not len(p):
         return none
     begin = np.concatenate(([0], np.cumsum(sizes)))
     text = np.zeros(begin[-1], np.int32)
@@ -139,30 +161,31 @@ def search_shard(p: Passages, docs: list[np.ndarray], sample: int = 4) -> pd.Dat
         return none
     index = FMIndex(text[keep].astype(np.int64), len(p.vocabulary) + 1, sample)
     found = []
-    for phrases, use, starts in p.by_length:
+    for phrases, passage, place, starts in p.by_length:
         lo, hi = index.search(phrases)
         which, pos = index.locate(lo, hi)
         pos = keep[pos]
         times = starts[which + 1] - starts[which]  # a phrase may stand in several passages
         rep = np.repeat(np.arange(len(which)), times)
         at = np.repeat(starts[which] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(len(rep)) if len(rep) else rep
-        found.append((pos[rep], use[at, 1], pos[rep] - use[at, 2]))
+        found.append((pos[rep], passage[at], pos[rep] - place[at]))
     pos, passage, diagonal = (np.concatenate(x) for x in zip(*found))
     if not len(pos):
         return none
     doc = np.searchsorted(begin, pos, "right") - 1
     # hits of one document and passage by diagonal; a bucket with enough hits in reach becomes a candidate
     relative = diagonal - begin[doc] + int(p.length.max())
-    pair = doc * len(p.texts) + passage
+    pairs, pair = np.unique(doc * len(p) + passage, return_inverse=True)
     key = np.sort(pair * np.int64(1 << 32) + relative)
     buckets = np.unique(key // _STEP)
     a = np.searchsorted(key, buckets * _STEP)
     b = np.searchsorted(key, np.minimum(buckets * _STEP + _REACH, (buckets * _STEP >> 32) + 1 << 32))
-    pair = buckets * _STEP >> 32
-    passage = pair % len(p.texts)
-    enough = b - a >= p.need[passage]
-    buckets, pair, passage = buckets[enough], pair[enough], passage[enough]
-    doc = pair // len(p.texts)
+    pair = pairs[buckets * _STEP >> 32]
+    enough = b - a >= p.need[pair % len(p)]
+    buckets, pair = buckets[enough], pair[enough]
+    # passages of about one length are aligned together
+    order = np.argsort(p.length[pair % len(p)], kind="stable")
+    buckets, doc, passage = buckets[order], pair[order] // len(p), pair[order] % len(p)
     diagonal = (buckets * _STEP & (1 << 32) - 1) - int(p.length.max()) + begin[doc] - (_BAND - _REACH) // 2
     out = []
     for s in range(0, len(doc), 4000):
@@ -176,26 +199,33 @@ def search_shard(p: Passages, docs: list[np.ndarray], sample: int = 4) -> pd.Dat
     return pd.concat(out).drop_duplicates() if out else none
 
 
-def leaks(documents: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS, block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
     """(doc_id, item_id, first_word, last_word): places where documents hold 30 running words of an item's passage.
 
     At most one word in ten may be replaced, dropped or added; a passage of less than 30 words counts when it is there
-    as a whole. Every item that carries the passage has its row. The words' numbers count from 0 in the document.
+    as a whole. Every item that carries the passage has its row. The words' numbers count from 0 in the document, in
+    which words broken at a line end are joined where the whole is a word of the passages of a block.
     Null or empty texts and passages hold nothing; items without an id are left out; repeated rows give repeated rows.
 
-    The items are a fixed set and go to every task (their size is checked); documents stay where they are: each task
-    indexes its documents in shards of ``shard_words`` words, so nothing is shuffled.
+    The items go to every task, by hash in blocks of about ``block_characters``: of one block at a time the driver and each
+    Python worker hold the passages, whatever their number. Documents stay where they are: each task indexes its documents
+    in shards of ``shard_words`` words, so nothing is shuffled.
     """
-    size = items.agg(F.sum(F.length("passage") + F.length("item_id"))).first()[0] or 0
-    if size > MAX_CHARACTERS:
-        raise ValueError(f"{size} characters of passages are too many for one pass; split the items into blocks")
-    rows = [(r[0], r[1]) for r in items.select("item_id", "passage").collect()]
-    rows.sort(key=lambda r: (r[0] is not None, r[0] or ""))
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(rows)
+    items = items.select("item_id", "passage").where("item_id is not null")
+    size = items.agg(F.sum(F.coalesce(F.length("passage"), F.lit(0)) + F.length("item_id"))).first()[0] or 0
+    blocks = max(1, -(-size // block_characters))
+    of_block = F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks))
+    passes = [_pass(documents, [(r[0], r[1]) for r in items.where(of_block == k).collect()], shard_words) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _pass(documents: DataFrame, rows: list[tuple[str, str | None]], shard_words: int) -> DataFrame:
+    """:func:`leaks` of one block of items."""
+    rows.sort(key=lambda r: r[0])
+    shared, name = documents.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Passages(shared.value)
+        p = _of_block(name, shared.value)
         ids: list[int | None] = []
         docs: list[np.ndarray] = []
         held = 0

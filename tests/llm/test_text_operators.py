@@ -105,6 +105,9 @@ def test_leaks_against_dynamic_programming(spark):
                 if q == 0:
                     expected.add((k, "twin"))
     assert found == expected and len(expected) > 20
+    # in passes of a few items each: the same rows
+    df, of = spark.createDataFrame(table, "doc_id long, text string, passage string").repartition(3), spark.createDataFrame(items, "item_id string, passage string")
+    assert sorted(map(str, leak.leaks(df, of, 300, block_characters=200).collect())) == sorted(map(str, leak.leaks(df, of, 300).collect()))
     assert leak.leaks(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id string, passage string")).count() == 0
     assert leak.leaks(spark.createDataFrame(table, "doc_id long, text string, p string"), spark.createDataFrame([], "item_id string, passage string")).count() == 0
 
@@ -385,7 +388,7 @@ def test_banding_at_the_threshold():
 
 def test_passage_of_many_words():
     p = leak.Passages([("long", " ".join(f"w{k}x" for k in range(20_000)))])
-    text = p.texts[0]
+    text = p.flat
     docs = [text[100:126], text[19_000:19_026], text[100:130], text[19_000:19_030]]  # 26 words are too few, with three changed ones too
     got = leak.search_shard(p, docs)
     assert sorted(set(got["doc"])) == [2, 3]
