@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +14,8 @@ from refweave.session import partitions
 
 #: Rows that are combined before they are shuffled, at a time.
 COMBINE_ROWS = 200_000
+#: Rows that are sampled to find the keys that need more than one task.
+SAMPLE_ROWS = 100_000
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,3 +132,45 @@ def key_profile(df: DataFrame, keys: dict[str, Column], second: Column) -> DataF
 def heavy_keys(profile: DataFrame, total: int, percent: int = 4) -> DataFrame:
     """(key_column, key_value) of the values that hold at least ``percent`` of ``total`` rows."""
     return profile.where(F.col("n_rows") * 100 >= F.lit(total) * percent).select("key_column", "key_value")
+
+
+def hot_keys(rows: DataFrame, keys: list[str], of: Callable[[DataFrame], DataFrame] = lambda d: d, sample_rows: int = SAMPLE_ROWS) -> DataFrame | None:
+    """(*keys, salts): keys that hold more than half of a shuffle partition's share of ``of(rows)``, and how many tasks each needs.
+
+    Measured on a sample of about ``sample_rows`` of ``rows``, or on all where there are fewer; ``of`` makes the rows with
+    the keys of them. No more than twice as many keys as there are shuffle partitions can be hot, whatever the data's
+    size; None where none is. Null keys join nothing and aren't hot.
+    """
+    spark, total = rows.sparkSession, rows.count()
+    sampled = of(rows if total <= sample_rows else rows.sample(sample_rows / total, 17))
+    counted = sampled.select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    share = (counted.agg(F.sum("n")).first()[0] or 0) / (2 * partitions(spark))
+    found = [(*r[:-1], math.ceil(r["n"] / share)) for r in counted.where(F.col("n") > max(2.0, share)).collect()]
+    kinds = ", ".join(f"`{k}` {sampled.schema[k].dataType.simpleString()}" for k in keys)
+    return spark.createDataFrame(found, f"{kinds}, salts int") if found else None
+
+
+def salted(rows: DataFrame, keys: list[str], hot: DataFrame | None, spread: Column) -> DataFrame:
+    """``rows`` with ``salt``: 0, or for rows of a hot key by ``spread`` one of as many as the key needs."""
+    if hot is None:
+        return rows.withColumn("salt", F.lit(0))
+    j = rows.join(F.broadcast(hot), keys, "left")
+    return j.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+
+
+def replicated(rows: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """``rows`` with ``salt``: those of a hot key once for each of its salts, the others once."""
+    if hot is None:
+        return rows.withColumn("salt", F.lit(0))
+    j = rows.join(F.broadcast(hot), keys, "left")
+    return j.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner", hot: DataFrame | None | bool = True) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key, without a task for all rows of a hot key of ``left``.
+
+    Hot keys are salted by their share of the rows. They are measured in ``left``, unless ``hot`` gives what :func:`hot_keys`
+    found where that is cheaper to read. ``spread`` tells rows of one key apart. Null keys match nothing.
+    """
+    hot = hot_keys(left, keys) if hot is True else hot
+    return salted(left, keys, hot, spread).join(replicated(right, keys, hot), [*keys, "salt"], how).drop("salt")

@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from refweave.operators.skew import heavy_keys, key_profile
+from refweave.operators.skew import heavy_keys, hot_keys, key_profile, skew_join
 
 
 def brute(data):
@@ -38,3 +39,11 @@ def test_same_at_many_partitions(spark, rows):
 def test_empty(spark):
     df = spark.createDataFrame([], "a string, b string, s string")
     assert key_profile(df, {"a": F.col("a")}, F.col("s")).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_skew_join(spark, rows, how):
+    left = spark.createDataFrame([("hot" if k % 2 else f"k{k % 37}" if k % 5 else None, k) for k in range(1000)], "a string, n int")
+    right = spark.createDataFrame([(f"k{k}", k) for k in range(30)] + [("hot", -1)], "a string, v int")
+    assert [r.a for r in hot_keys(left, ["a"]).collect()] == ["hot"] and hot_keys(right, ["a"]) is None
+    assert rows(skew_join(left, right, ["a"], F.col("n"), how)) == rows(left.join(right, ["a"], how))
