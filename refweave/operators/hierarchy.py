@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from refweave.session import cut, partitions, shared_table
 
-#: A boundary table of at most so many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: A boundary table of at most so many bytes, chains included, is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 16 * 2**20
+_ROW_BYTES = 64  # a row's numbers, and what holds its strings
 SEP = "/"
 
 
@@ -47,10 +48,16 @@ class WeightedForest:
         return out
 
 
-_LOCAL = "pid int, id string, path string, top string, depth long, outer string, cyclic boolean, chain string"
+_LOCAL = "pid int, id string, path string, top string, depth long, outer string, cyclic boolean, chain string, parent string"
 
 
-def _local(with_paths: bool) -> object:
+def _bytes(df: DataFrame) -> int:
+    """The size of a table's rows, by the length of its strings."""
+    strings = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
+    return df.agg(F.sum(sum(strings, F.lit(_ROW_BYTES)))).first()[0] or 0
+
+
+def _local(with_paths: bool, with_parents: bool) -> object:
     """Over rows sorted by path: local tops and offsets.
 
     outer is the parent of the top where that parent may lie in another partition: only for the first and last path
@@ -75,7 +82,7 @@ def _local(with_paths: bool) -> object:
         return pd.DataFrame({
             "pid": pid, "id": ids, "path": paths, "top": np.where(forest.cyclic, None, ids[tops]), "depth": forest.offset,
             "outer": np.where(forest.cyclic, None, outer[tops]), "cyclic": forest.cyclic,
-            "chain": forest.paths(ids) if with_paths else None,
+            "chain": forest.paths(ids) if with_paths else None, "parent": np.where(same, parents, None) if with_parents else None,
         })
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,8 +131,7 @@ def _resolve_outer(local: DataFrame) -> DataFrame | None:
     n = asked.count()
     if not n:
         return None
-    small = n <= BROADCAST_ROWS
-    near = F.broadcast(asked) if small else asked
+    near = F.broadcast(asked) if _bytes(asked) <= BROADCAST_BYTES else asked
     nodes = local.select("path", F.col("id").alias("outer"), F.col("top").alias("t"), F.col("depth").alias("d"), F.col("outer").alias("next"), "cyclic", "chain")
     hit = nodes.join(near, ["path", "outer"])
     state = F.when(F.col("t").isNull() & ~F.coalesce("cyclic", F.lit(False)), "none").when(F.col("cyclic"), "cycle").when(F.col("next").isNull(), "root").otherwise("open")
@@ -149,25 +155,26 @@ def _resolve_outer(local: DataFrame) -> DataFrame | None:
     return b.drop("next")
 
 
-def hierarchies(nodes: DataFrame, with_paths: bool = True) -> DataFrame:
-    """(symbol_id, root_id, node_depth, ancestors, path): every node's root, depth and chain of ids from the root.
+def hierarchies(nodes: DataFrame, with_paths: bool = True, with_parents: bool = False) -> DataFrame:
+    """(symbol_id, root_id, node_depth, chain): every node's root, depth and chain of ids from the root.
 
     nodes: (id, parent_id, path, start_line) with distinct ids. The parent is the node with that id and the same path;
     without one the node is a root of depth 0. A node on a cycle or below one has root_id '', node_depth -1 and an
-    empty chain. A null path is nobody's, so its nodes are roots. An empty table gives no rows.
+    empty chain. A null path is nobody's, so its nodes are roots. An empty table gives no rows. Without ``with_paths`` the
+    chains are null; ``with_parents`` adds parent_id, the parent that there is, or null.
 
     Nodes are range partitioned by (path, start_line, id), so most links are local and one huge path is cut over many
     partitions. Local forests leave only the parents asked for across partition bounds, which are merged by doubling.
     """
     spark = nodes.sparkSession
     ranged = nodes.select("path", "start_line", "id", "parent_id").repartitionByRange(partitions(spark), "path", "start_line", "id").sortWithinPartitions("path")
-    local = shared_table(ranged.mapInPandas(_local(with_paths), _LOCAL), "forest")
+    local = shared_table(ranged.mapInPandas(_local(with_paths, with_parents), _LOCAL), "forest")
     outer = _resolve_outer(local)
     if outer is None:
-        got = local.select("id", F.col("top").alias("root"), "depth", "cyclic", "chain")
+        got = local.select("id", F.col("top").alias("root"), "depth", "cyclic", "chain", "parent")
     else:
         up = outer.select("path", "outer", F.col("root").alias("u_root"), F.col("depth").alias("u_depth"), F.col("chain").alias("u_chain"), "state")
-        if up.count() <= BROADCAST_ROWS:
+        if _bytes(up) <= BROADCAST_BYTES:
             j = local.join(F.broadcast(up), ["path", "outer"], "left")
         else:  # one row a partition and parent: a parent asked for by all partitions is as often there
             asks = local.where(F.col("outer").isNotNull()).select("pid", "path", "outer").distinct()
@@ -178,11 +185,13 @@ def hierarchies(nodes: DataFrame, with_paths: bool = True) -> DataFrame:
             F.when(over, F.col("u_depth") + 1 + F.col("depth")).otherwise(F.col("depth")).alias("depth"),
             (F.col("cyclic") | F.coalesce(F.col("state") == "cycle", F.lit(False))).alias("cyclic"),
             F.when(over, F.concat_ws(SEP, "u_chain", "chain")).otherwise(F.col("chain")).alias("chain"),
+            F.coalesce("parent", F.when((F.col("id") == F.col("top")) & F.col("state").isin("root", "cycle"), F.col("outer"))).alias("parent"),
         )
+    parent = [F.col("parent").alias("parent_id")] if with_parents else []
     return got.select(
         F.col("id").alias("symbol_id"), F.when(F.col("cyclic"), "").otherwise(F.col("root")).alias("root_id"),
         F.when(F.col("cyclic"), -1).otherwise(F.col("depth")).cast("int").alias("node_depth"),
-        F.when(F.col("cyclic"), "").otherwise(F.col("chain")).alias("chain"),
+        F.when(F.col("cyclic"), "").otherwise(F.col("chain")).alias("chain"), *parent,
     )
 
 

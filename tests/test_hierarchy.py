@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from refweave.operators import hierarchy
 
@@ -36,11 +37,14 @@ def forest(rnd, n, paths):
     return nodes
 
 
-@pytest.mark.parametrize("small", [20_000, 0])
+@pytest.mark.parametrize("small", [2**24, 0])
 def test_against_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(hierarchy, "BROADCAST_ROWS", small)
+    monkeypatch.setattr(hierarchy, "BROADCAST_BYTES", small)
     nodes = forest(random.Random(3), 400, ["a", "b", None])
-    got = hierarchy.hierarchies(spark.createDataFrame(nodes, SCHEMA).repartition(5))
+    got = hierarchy.hierarchies(spark.createDataFrame(nodes, SCHEMA).repartition(5), with_parents=True)
+    by = {n[0]: n for n in nodes}
+    parents = {n[0]: n[1] if n[1] in by and n[2] is not None and by[n[1]][2] == n[2] else None for n in nodes}
+    assert {r.symbol_id: r.parent_id for r in got.collect()} == parents
     assert sorted((r.symbol_id, r.root_id, r.node_depth, r.chain) for r in got.collect()) == brute(nodes)
 
 
@@ -56,6 +60,22 @@ def test_long_chain_and_cycle_over_partitions(spark):
     assert pairs.count() == n - 1 and pairs.agg({"distance": "max"}).first()[0] == n - 1
 
 
+def test_chain_of_ten_thousand(spark):
+    """Chains add up to some 200 MB, which no broadcast may hold."""
+    n = 10_000
+    order = list(range(n))
+    random.Random(5).shuffle(order)
+    nodes = spark.createDataFrame([(f"{k}", f"{k - 1}" if k else None, "one", order[k], 1) for k in range(n)], SCHEMA)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = hierarchy.hierarchies(nodes)
+        right = (F.col("symbol_id") == F.col("node_depth")) & (F.col("root_id") == "0") & (F.size(F.split("chain", "/")) == F.col("node_depth") + 1)
+        right &= F.element_at(F.split("chain", "/"), -1) == F.col("symbol_id")
+        assert got.where(right).count() == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_forest_of_arrays():
     f = hierarchy.WeightedForest(np.array([-1, 0, 1, 4, 3, 4, -1]))
     assert f.cyclic.tolist() == [False, False, False, True, True, True, False]
