@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from refweave.functions.normalize import norm_path
 from refweave.session import partitions
 
+#: Keys of one snapshot that a bucket holds, about: what a task needs memory for.
+BUCKET_KEYS = 250_000
+
 
 def latest_per_path(snapshots: DataFrame) -> DataFrame:
     """(snapshot_no, relative_path, updated_ms): one row per snapshot and path, combined map-side.
@@ -101,15 +104,21 @@ def _pass(numbers: list[int]) -> object:
     return run
 
 
-def snapshot_changes(latest: DataFrame) -> DataFrame:
+def deliveries(snapshots: DataFrame) -> dict[int, int]:
+    """Rows of every snapshot that was delivered, by its number: as many entries as there were deliveries."""
+    rows = snapshots.select("snapshot_no", norm_path("relative_path").alias("relative_path")).where(F.col("snapshot_no").isNotNull() & F.col("relative_path").isNotNull())
+    return dict(sorted((r[0], r[1]) for r in rows.groupBy("snapshot_no").count().collect()))
+
+
+def snapshot_changes(latest: DataFrame, rows: dict[int, int] | None = None) -> DataFrame:
     """(snapshot_no, relative_path, change_kind, old_ms, new_ms) of every snapshot against the one delivered before.
 
-    latest: (snapshot_no, relative_path, updated_ms), one row per snapshot and path. The paths of all snapshots are
-    hashed into buckets once; each bucket then goes through the snapshots in order and holds two of them at a time.
-    The list of snapshot numbers, as long as there were deliveries, is all that the driver gets. A path has one row a
-    snapshot, so no bucket is hot. An empty table or a single snapshot gives no rows.
+    latest: (snapshot_no, relative_path, updated_ms), one row per snapshot and path; rows: its :func:`deliveries`, or at
+    least as many. The paths of all snapshots are hashed into buckets once, as many as the largest snapshot needs for
+    BUCKET_KEYS keys in each; each bucket then goes through the snapshots in order and holds two of them at a time.
+    A path has one row a snapshot, so no bucket is hot. An empty table or a single snapshot gives no rows.
     """
-    numbers = sorted(r[0] for r in latest.select("snapshot_no").distinct().collect())
-    spark = latest.sparkSession
-    buckets = latest.repartition(partitions(spark), "relative_path").sortWithinPartitions("snapshot_no")
-    return buckets.mapInPandas(_pass(numbers), "snapshot_no int, relative_path string, change_kind string, old_ms long, new_ms long")
+    rows = deliveries(latest) if rows is None else rows
+    n = max(partitions(latest.sparkSession), -(-max(rows.values(), default=0) // BUCKET_KEYS))
+    buckets = latest.repartition(n, "relative_path").sortWithinPartitions("snapshot_no")
+    return buckets.mapInPandas(_pass(sorted(rows)), "snapshot_no int, relative_path string, change_kind string, old_ms long, new_ms long")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from refweave.functions.normalize import EDGE, norm_id, norm_path
 from refweave.operators import hierarchy, orphans, skew, snapshots
 from refweave.operators.liveness import symbol_states
-from refweave.session import shared_dir
+from refweave.session import own_folder
 from refweave.sources.snapshot_index import SnapshotIndex
 from refweave.sources.tables import table
 
@@ -41,15 +41,16 @@ def p2_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    latest = snapshots.latest_per_path(table(spark, sf, "code_file_snapshots"))
-    return snapshots.snapshot_changes(latest).select("snapshot_no", "relative_path", "change_kind")
+    t = table(spark, sf, "code_file_snapshots")
+    return snapshots.snapshot_changes(snapshots.latest_per_path(t), snapshots.deliveries(t)).select("snapshot_no", "relative_path", "change_kind")
 
 
 def p4_last(spark: SparkSession, sf: str) -> DataFrame:
     """The changes of the last snapshot against a kept index of the one before it."""
-    latest = snapshots.latest_per_path(table(spark, sf, "code_file_snapshots"))
-    two = [r[0] for r in latest.select("snapshot_no").distinct().orderBy(F.col("snapshot_no").desc()).limit(2).collect()]
-    index = SnapshotIndex(spark, f"{shared_dir(spark)}/refweave-{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}", 16)
+    t = table(spark, sf, "code_file_snapshots")
+    latest, rows = snapshots.latest_per_path(t), snapshots.deliveries(t)
+    two = sorted(rows, reverse=True)[:2]
+    index = SnapshotIndex(spark, f"{own_folder(spark)}/index-{uuid.uuid4().hex}", max(16, -(-max(rows.values(), default=0) // snapshots.BUCKET_KEYS)))
     if len(two) == 2:
         index.swap(latest.where(F.col("snapshot_no") == two[1]).select("relative_path", "updated_ms"))
     last = latest.where(F.col("snapshot_no") == (two[0] if len(two) == 2 else -1)).select("relative_path", "updated_ms")

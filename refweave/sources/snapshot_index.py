@@ -4,42 +4,51 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refweave.session import cut
+from refweave.sources.pointer import Pointer
+
 
 class SnapshotIndex:
-    """Two tables bucketed by path in one folder: path to hash, and path to time. A pointer names the current version.
+    """Two tables in one folder: path to hash, bucketed by path, and path to time, in a folder a bucket. A pointer names the
+    current version.
 
-    A probe reads the hashes only; the times of the last snapshot are fetched for the paths whose hash differs. As the
-    index is bucketed, only the new rows are shuffled. A run that fails before the swap leaves the old index.
+    A probe reads the hashes only, and as they are bucketed, only the new rows are shuffled. The times of the last snapshot
+    are fetched for the paths whose hash differs, from those of their buckets alone. A run that fails before the pointer
+    has moved leaves the old index.
     """
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64) -> None:
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._pointer = Pointer(spark, self.folder)
 
     def version(self) -> str | None:
-        at = self._path(f"{self.folder}/current")
-        if not self._fs.exists(at):
-            return None
-        f = self._fs.open(at)
-        try:
-            return bytes(f.readAllBytes()).decode()
-        finally:
-            f.close()
+        return self._pointer.current()
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.hash("relative_path"), F.lit(self.buckets))
 
-    def _table(self, version: str, what: str, column: str) -> DataFrame:
-        name = f"refweave_{what}_{version}"
+    def _hashes(self, version: str | None) -> DataFrame:
+        if not version:
+            return self.spark.createDataFrame([], "relative_path string, hash long")
+        name = f"refweave_hashes_{version}"
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} (relative_path STRING, {column} BIGINT) USING parquet "
-            f"CLUSTERED BY (relative_path) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{version}/{what}'"
+            f"CREATE TABLE {name} (relative_path STRING, hash BIGINT) USING parquet "
+            f"CLUSTERED BY (relative_path) SORTED BY (relative_path) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{version}/hashes'"
         )
-        return self.spark.table(name)
+        got = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the entry in the catalogue; the files stay
+        return got
 
-    def _empty(self, column: str) -> DataFrame:
-        return self.spark.createDataFrame([], f"relative_path string, {column} long")
+    def _times(self, version: str | None, hit: DataFrame) -> DataFrame:
+        """(relative_path, old_ms) of the buckets in which ``hit`` changed or removed a path: as many numbers as buckets at most."""
+        schema = "relative_path string, old_ms long"
+        if not version:
+            return self.spark.createDataFrame([], schema)
+        touched = [r[0] for r in hit.where("change_kind <> 'added'").select(self._bucket()).distinct().collect()]
+        return self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.folder}/{version}/times").where(F.col("bucket").isin(touched)).drop("bucket")
 
     def changes(self, latest: DataFrame) -> DataFrame:
         """(relative_path, change_kind, old_ms, new_ms) of (relative_path, updated_ms) against the index.
@@ -47,27 +56,21 @@ class SnapshotIndex:
         latest has one row a path. Without an index yet all paths are ``added``.
         """
         v = self.version()
-        hashes = self._table(v, "hashes", "hash") if v else self._empty("hash")
         new = latest.select("relative_path", F.col("updated_ms").alias("new_ms"), F.xxhash64("updated_ms").alias("new_hash"), F.lit(True).alias("is_new"))
-        probed = new.join(hashes.withColumn("is_old", F.lit(True)), "relative_path", "full_outer")
+        probed = new.join(self._hashes(v).withColumn("is_old", F.lit(True)), "relative_path", "full_outer")
         kind = F.when(F.col("is_old").isNull(), "added").when(F.col("is_new").isNull(), "removed").when(F.col("hash") != F.col("new_hash"), "changed")
-        hit = probed.select("relative_path", kind.alias("change_kind"), "new_ms").where(F.col("change_kind").isNotNull())
-        times = (self._table(v, "times", "old_ms") if v else self._empty("old_ms"))
-        full = hit.join(times, "relative_path", "left")
+        hit = cut(probed.select("relative_path", kind.alias("change_kind"), "new_ms").where(F.col("change_kind").isNotNull()))
+        full = hit.join(self._times(v, hit), "relative_path", "left")
         return full.where((F.col("change_kind") != "changed") | ~F.col("old_ms").eqNullSafe(F.col("new_ms"))).select("relative_path", "change_kind", "old_ms", "new_ms")
 
     def swap(self, latest: DataFrame) -> str:
         """Make ``latest`` the snapshot that the next one is probed against."""
         version = uuid.uuid4().hex
         parts = latest.repartition(self.buckets, "relative_path")
-        for what, rows in (("hashes", parts.select("relative_path", F.xxhash64("updated_ms").alias("hash"))), ("times", parts.select("relative_path", F.col("updated_ms").alias("old_ms")))):
-            at = f"{self.folder}/{version}/{what}"
-            rows.write.bucketBy(self.buckets, "relative_path").sortBy("relative_path").option("path", at).saveAsTable(f"refweave_{what}_{version}")
-        fresh, current = self._path(f"{self.folder}/next-{version}"), self._path(f"{self.folder}/current")
-        f = self._fs.create(fresh, True)
-        f.write(bytearray(version.encode()))
-        f.close()
-        self._fs.delete(current, False)
-        if not self._fs.rename(fresh, current):
-            raise OSError("the pointer could not be moved")
+        name = f"refweave_hashes_{version}"
+        hashes = parts.select("relative_path", F.xxhash64("updated_ms").alias("hash"))
+        hashes.write.bucketBy(self.buckets, "relative_path").sortBy("relative_path").option("path", f"{self.folder}/{version}/hashes").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        parts.select("relative_path", F.col("updated_ms").alias("old_ms"), self._bucket().alias("bucket")).write.partitionBy("bucket").parquet(f"{self.folder}/{version}/times")
+        self._pointer.move(version)
         return version

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from refweave.schema import TABLES
+from refweave.sources.pointer import Pointer
 
 
 class Store:
     """A folder with one sub-folder a version and table, and a pointer to the current version.
 
-    A run that fails leaves the pointer, so readers see the last whole version. Paths may be of any file system that
-    Hadoop knows. Close it, or use it in a ``with`` block, to drop its cached tables.
+    A version has the tables that changed with it, and a list of the folders of all. A run that fails leaves the pointer,
+    so readers see the last whole version. Paths may be of any file system that Hadoop knows. A closed store, also by the
+    end of a ``with`` block, is not read or written any more.
     """
 
     def __init__(self, spark: SparkSession, folder: str, create: bool = True) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.folder, self._closed = spark, folder.rstrip("/"), False
+        self._pointer = Pointer(spark, self.folder)
         if not self.exists():
             if not create:
                 raise FileNotFoundError(f"no store at {folder}")
@@ -33,42 +34,34 @@ class Store:
         self.close()
 
     def close(self) -> None:
-        self.spark.catalog.clearCache()
-
-    def _pointer(self) -> str:
-        return f"{self.folder}/_current"
+        self._closed = True
 
     def exists(self) -> bool:
-        return self._fs.exists(self._path(self._pointer()))
+        return self._pointer.current() is not None
 
     def version(self) -> str:
-        f = self._fs.open(self._path(self._pointer()))
-        try:
-            return bytes(f.readAllBytes()).decode().strip()
-        finally:
-            f.close()
+        return self._pointer.current() or ""
+
+    def _folders(self) -> dict[str, str]:
+        if self._closed:
+            raise ValueError("the store is closed")
+        return json.loads(self._pointer.read(f"{self.folder}/{v}/tables.json")) if (v := self._pointer.current()) else {}
 
     def table(self, name: str) -> DataFrame:
         """The current version of a table."""
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{self.version()}/{name}")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{self._folders()[name]}")
 
     def publish(self, tables: dict[str, DataFrame]) -> str:
-        """Write the tables (those not given are carried over), then make them current."""
-        version = uuid.uuid4().hex
-        for name in TABLES:
-            df = tables.get(name)
-            df = self.table(name) if df is None else df
+        """Write the tables, then make them current; those not given stay as and where they are."""
+        version, folders = uuid.uuid4().hex, self._folders()
+        for name, df in tables.items():
             cols = [df[f.name].cast(f.dataType).alias(f.name) if f.name in df.columns else _null(f) for f in TABLES[name]]
             out = df.select(*cols)
+            folders[name] = f"{version}/{name}"
             # files of one path together, so that lookups by path skip row groups
-            out.sortWithinPartitions(out.columns[0] if name == "code_files" else "path" if name == "symbols" else "from_path").write.parquet(f"{self.folder}/{version}/{name}")
-        fresh = self._path(f"{self.folder}/_next-{version}")
-        f = self._fs.create(fresh, True)
-        f.write(bytearray(version.encode()))
-        f.close()
-        self._fs.delete(self._path(self._pointer()), False)
-        if not self._fs.rename(fresh, self._path(self._pointer())):
-            raise OSError("the pointer could not be moved")
+            out.sortWithinPartitions(out.columns[0] if name == "code_files" else "path" if name == "symbols" else "from_path").write.parquet(f"{self.folder}/{folders[name]}")
+        self._pointer.write(f"{self.folder}/{version}/tables.json", json.dumps(folders))
+        self._pointer.move(version)
         return version
 
 

@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from refweave.operators.snapshots import latest_per_path, snapshot_changes
 
 SCHEMA = "snapshot_no int, relative_path string, updated_at timestamp_ntz, change_kind string"
@@ -59,3 +61,42 @@ def test_kept_index(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [("b", "changed", 2, 3), ("d", "changed", None, 4), ("e", "removed", 5, None), ("f", "added", None, None)]
     index.swap(new)
     assert index.changes(new).count() == 0
+
+
+def test_a_crash_before_the_pointer_moves(spark, tmp_path, monkeypatch):
+    from refweave.schema import CODE_FILES
+    from refweave.sources.pointer import Pointer
+    from refweave.sources.snapshot_index import SnapshotIndex
+    from refweave.sources.store import Store
+
+    old, new = (spark.createDataFrame([(p, 1)], "relative_path string, updated_ms long") for p in "ab")
+    index = SnapshotIndex(spark, f"file://{tmp_path}/index", buckets=2)
+    index.swap(old)
+    store = Store(spark, f"file://{tmp_path}/store")
+    files = lambda p: spark.createDataFrame([(p, None)], CODE_FILES)
+    store.publish({"code_files": files("a")})
+    move = Pointer.move
+
+    def crash(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(Pointer, "move", crash)
+    for act in (lambda: index.swap(new), lambda: store.publish({"code_files": files("b")})):
+        with pytest.raises(KeyboardInterrupt):
+            act()
+    monkeypatch.setattr(Pointer, "move", move)
+    assert SnapshotIndex(spark, f"file://{tmp_path}/index", buckets=2).changes(old).count() == 0
+    assert [r[0] for r in Store(spark, f"file://{tmp_path}/store").table("code_files").collect()] == ["a"]
+    # a crash after it has moved, with the old pointer still there
+    (tmp_path / "store" / "_versions" / "000000000000-gone").touch()
+    assert [r[0] for r in Store(spark, f"file://{tmp_path}/store").table("code_files").collect()] == ["a"]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("refweave_")]
+
+
+def test_buckets_by_size(spark, monkeypatch):
+    from refweave.operators import snapshots
+
+    monkeypatch.setattr(snapshots, "BUCKET_KEYS", 5)
+    df = spark.createDataFrame([(no, f"p{k}", None, "") for no in (1, 2) for k in range(100) if k % (no + 1)], SCHEMA)
+    got = snapshot_changes(latest_per_path(df), snapshots.deliveries(df))
+    assert got.rdd.getNumPartitions() == 14 and sorted((r.snapshot_no, r.relative_path, r.change_kind) for r in got.collect()) == brute([tuple(r) for r in df.collect()])
