@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refweave.operators.skew import skew_join
+
 
 def to_millis(ts: Column) -> Column:
     return F.date_trunc("MILLISECOND", ts)
@@ -62,9 +64,16 @@ def delete_symbols(symbols: DataFrame, paths: DataFrame) -> DataFrame:
     return delete(symbols, paths, "path")
 
 
-def fk_violations(references: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(id, column, symbol_id) of each reference end whose symbol isn't there; null ends violate nothing."""
+def fk_violations(references: DataFrame, symbols: DataFrame, hot: DataFrame | None | bool = True) -> DataFrame:
+    """(id, column, symbol_id) of each reference end whose symbol isn't there; null ends violate nothing.
+
+    The symbols are met through :func:`skew.skew_join`, so that a hot symbol_id is no single task; ``hot`` as there.
+    """
     ids = symbols.select(F.col("id").alias("symbol_id")).distinct()
+    return skew_join(reference_ends(references), ids, ["symbol_id"], F.col("id"), "left_anti", hot).select("id", "column", "symbol_id")
+
+
+def reference_ends(references: DataFrame) -> DataFrame:
+    """(id, column, symbol_id): the set ends of each reference."""
     ends = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("symbol_id")) for c in ("from_symbol_id", "to_symbol_id")]))
-    flat = references.select("id", ends.alias("e")).select("id", "e.column", "e.symbol_id").where(F.col("symbol_id").isNotNull())
-    return flat.join(ids, "symbol_id", "left_anti").select("id", "column", "symbol_id")
+    return references.select("id", ends.alias("e")).select("id", "e.column", "e.symbol_id").where(F.col("symbol_id").isNotNull())

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refweave.functions.scalars import basename, stable_id
-from refweave.operators.containment import innermost
+from refweave.operators.containment import innermost, or_default
 from refweave.operators.hierarchy import hierarchies
+from refweave.operators.skew import skew_join
 from refweave.schema import FILE
+from refweave.session import cut
 
 
 def file_roots(files: DataFrame) -> DataFrame:
@@ -60,29 +62,36 @@ def find_ids(symbols: DataFrame) -> DataFrame:
 
 
 def located(provider: DataFrame, locations: DataFrame, depths: DataFrame) -> DataFrame:
-    """Locations in other files with the innermost provider symbol there: (decl_path, decl_key, target_path, line, name, start_line).
+    """Locations in other files with the innermost provider symbol there: (decl_path, decl_key, target_path, line, char, name, start_line).
 
-    A location that no symbol holds is left out. Symbols are tried in the provider's order.
+    A location that no symbol holds is left out. Symbols are tried in the provider's order, by line and character; a
+    location without a character is at the line's begin. Each distinct position is resolved once, and a hot one goes back
+    to its locations salted.
     """
-    cross = locations.where(F.col("decl_path") != F.col("target_path"))
+    cross = locations.withColumn("char", or_default(locations, "char", 0)).where(F.col("decl_path") != F.col("target_path"))
+    chars = [c for c in ("start_char", "end_char") if c in provider.columns]
     spans = provider.join(depths.select("path", "symbol_key", "depth"), ["path", "symbol_key"]).select(
-        "path", F.col("symbol_key").alias("id"), F.col("parent_key").alias("parent_id"), "depth", "ordinal", "start_line", "end_line"
+        "path", F.col("symbol_key").alias("id"), F.col("parent_key").alias("parent_id"), "depth", "ordinal", "start_line", "end_line", *chars
     )
-    at = innermost(cross.select(F.col("target_path").alias("path"), "line"), spans)
+    at = innermost(cross.select(F.col("target_path").alias("path"), "line", "char"), spans)
     named = at.join(provider.select("path", F.col("symbol_key").alias("symbol_id"), "name", "start_line"), ["path", "symbol_id"])
-    return cross.join(named.select(F.col("path").alias("target_path"), "line", "name", "start_line"), ["target_path", "line"]).select("decl_path", "decl_key", "target_path", "line", "name", "start_line")
+    named = named.select(F.col("path").alias("target_path"), "line", "char", "name", "start_line")
+    return skew_join(cross, named, ["target_path", "line", "char"], F.struct("decl_path", "decl_key")).select("decl_path", "decl_key", "target_path", "line", "char", "name", "start_line")
 
 
 def reference_rows(located_: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows for symbol_references, locations whose symbol the store doesn't have).
 
-    from is the File symbol of the declaring file, to the innermost symbol at the usage, by path, name and start line.
+    from is the File symbol of the declaring file, to the innermost symbol at the usage, by path, name and start line. Two
+    usages on one line, at different characters, are two rows; a location that is given twice is one. Symbols are looked up
+    once a distinct (path, name, start line).
     """
     ids = find_ids(symbols).withColumnRenamed("path", "target_path")
     roots = symbols.where(F.col("kind") == FILE).groupBy("path").agg(F.min("id").alias("from_symbol_id")).withColumnRenamed("path", "decl_path")
     keys = ["target_path", "name", "start_line"]
-    rows = located_.join(ids, keys).join(roots, "decl_path").select(
-        stable_id(F.col("decl_path"), F.col("decl_key"), F.col("target_path"), F.col("line")).alias("id"), "from_symbol_id", F.col("symbol_id").alias("to_symbol_id"),
+    found = cut(skew_join(located_, ids, keys, F.struct("decl_path", "decl_key", "line", "char"), "left"))
+    rows = skew_join(found.where(F.col("symbol_id").isNotNull()), roots, ["decl_path"], F.struct("target_path", "line", "char")).select(
+        stable_id(F.col("decl_path"), F.col("decl_key"), F.col("target_path"), F.col("line"), F.col("char")).alias("id"), "from_symbol_id", F.col("symbol_id").alias("to_symbol_id"),
         F.col("decl_path").alias("from_path"), F.col("target_path").alias("to_path"), F.lit("reference").alias("reference_type"), F.col("line").alias("line_number"),
     )
-    return rows.dropDuplicates(["id"]), located_.join(ids, keys, "left_anti")
+    return rows.dropDuplicates(["id"]), found.where(F.col("symbol_id").isNull()).select(located_.columns)

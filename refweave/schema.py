@@ -19,10 +19,11 @@ TABLES = {"code_files": CODE_FILES, "symbols": SYMBOLS, "symbol_references": SYM
 PROVIDER_SYMBOLS = T.StructType([
     T.StructField("path", T.StringType(), False), T.StructField("symbol_key", T.StringType(), False), T.StructField("parent_key", T.StringType()),
     T.StructField("ordinal", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("kind", T.IntegerType()),
-    T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()),
+    *[T.StructField(f"{at}_{unit}", T.IntegerType()) for at in ("start", "end", "sel") for unit in ("line", "char")],
 ])
 PROVIDER_LOCATIONS = T.StructType([
     T.StructField("decl_path", T.StringType(), False), T.StructField("decl_key", T.StringType()), T.StructField("target_path", T.StringType()), T.StructField("line", T.IntegerType()),
+    T.StructField("char", T.IntegerType()),
 ])
 
 FILE = 0

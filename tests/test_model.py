@@ -117,6 +117,33 @@ def test_innermost_against_descent(spark):
     assert {r.line: r.symbol_id for r in got.collect()} == expected
 
 
+def descend_at(spans, at):
+    kids = {}
+    for s in sorted(spans, key=lambda s: s[4]):
+        kids.setdefault(s[2], []).append(s)
+    found = None
+    while hit := next((s for s in kids.get(found, []) if s[5:7] <= at <= s[7:9]), None):
+        found = hit[1]
+    return found
+
+
+def test_innermost_by_characters(spark):
+    rnd = random.Random(7)
+    spans, depth = [], {}
+    for k in range(40):  # all within two lines, so that only characters tell them apart
+        parent = rnd.choice([None, *[s[1] for s in spans[:15]]])
+        a, b = sorted((rnd.randrange(2), rnd.randrange(60)) for _ in range(2))
+        depth[f"s{k}"] = 0 if parent is None else depth[parent] + 1
+        spans.append(("p", f"s{k}", parent, depth[f"s{k}"], k, *a, *b))
+    positions = [("p", rnd.randrange(2), rnd.randrange(62)) for _ in range(150)] + [("p", 1, None)]
+    got = innermost(
+        spark.createDataFrame(positions, "path string, line int, char int"),
+        spark.createDataFrame(spans, "path string, id string, parent_id string, depth int, ordinal int, start_line int, start_char int, end_line int, end_char int"),
+    )
+    expected = {(n, c or 0): s for _, n, c in positions if (s := descend_at(spans, (n, c or 0)))}
+    assert {(r.line, r.char): r.symbol_id for r in got.collect()} == expected and len(set(expected.values())) > 4
+
+
 def test_numbered(spark):
     df = spark.createDataFrame([(i % 7, i) for i in range(100)], "a int, b int").repartition(6)
     got = numbered(df, F.col("a").desc(), F.col("b").asc()).orderBy("row_no").collect()

@@ -6,18 +6,19 @@ import pytest
 from refweave.plans.pipeline import build_graph, index
 from refweave.schema import CODE_FILES, PROVIDER_LOCATIONS, PROVIDER_SYMBOLS
 from refweave.sinks.page import elements_json, page
+from refweave.operators import extraction
 from refweave.operators.graph import elements
 from refweave.sources import crawl
-from refweave.sources.python_symbols import outline, provider_symbols
+from refweave.sources.python_symbols import outline, provider_errors, provider_symbols
 from refweave.sources.store import Store
 from refweave.streaming.incremental import follow
 
 T1, T2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
 PROVIDER = [
-    ("a.py", "0", None, 0, "A", 4, 0, 9), ("a.py", "0.0", "0", 0, "run", 5, 2, 4), ("a.py", "1", None, 1, "x", 7, 11, 11),
-    ("b.py", "0", None, 0, "g", 11, 0, 5), ("c.py", "0", None, 0, "h", 11, 0, 5),
+    ("a.py", "0", None, 0, "A", 4, 0, 0, 9, 0, 0, 6), ("a.py", "0.0", "0", 0, "run", 5, 2, 4, 4, 0, 2, 8), ("a.py", "1", None, 1, "x", 7, 11, 0, 11, 5, 11, 0),
+    ("b.py", "0", None, 0, "g", 11, 0, 0, 5, 0, 0, 4), ("c.py", "0", None, 0, "h", 11, 0, 0, 5, 0, 0, 4),
 ]
-LOCATIONS = [("a.py", "0", "b.py", 3), ("a.py", "0", "a.py", 3), ("b.py", "0", "a.py", 3), ("c.py", "0", "a.py", 0), ("c.py", "0", "b.py", 77)]
+LOCATIONS = [("a.py", "0", "b.py", 3, 0), ("a.py", "0", "a.py", 3, 0), ("b.py", "0", "a.py", 3, 0), ("c.py", "0", "a.py", 0, 0), ("c.py", "0", "b.py", 77, 0)]
 
 
 def run(spark, store, listed, strict=False):
@@ -96,9 +97,27 @@ def test_globs(glob, yes, no):
 
 def test_python_provider(spark):
     text = "class A:\n    def run(self):\n        def inner(): pass\n\ndef f():\n    pass\n"
-    assert outline(text) == [("0", None, 0, "A", 4, 0, 2), ("0.0", "0", 0, "run", 5, 1, 2), ("0.0.0", "0.0", 0, "inner", 11, 2, 2), ("1", None, 1, "f", 11, 4, 5)]
+    assert outline(text) == [
+        ("0", None, 0, "A", 4, 0, 0, 2, 25, 0, 6), ("0.0", "0", 0, "run", 5, 1, 4, 2, 25, 1, 8), ("0.0.0", "0.0", 0, "inner", 11, 2, 8, 2, 25, 2, 12), ("1", None, 1, "f", 11, 4, 0, 5, 8, 4, 4),
+    ]
+    assert outline("x = '😀'; \nif 1: \n  'ä'; 'z'\nclass Ü: a = '😀'")[0][4:] == (4, 3, 0, 3, 17, 3, 6)
     files = spark.createDataFrame([("a.py", text), ("bad.py", "def ("), ("none.py", None)], "path string, file_text string")
     assert provider_symbols(files).count() == 4
+    assert provider_symbols(files).columns == [f.name for f in PROVIDER_SYMBOLS.fields]
+    assert [(r.path, r.error.split(":")[0]) for r in provider_errors(files).collect()] == [("bad.py", "SyntaxError")]
+
+
+def test_usages_on_one_line(spark):
+    """Two usages of a symbol on one line are two rows, each of the symbol at its character; one that is told twice is one."""
+    symbols = [("a", "0", None, 0, "f", 11, 0, 0, 3, 0, 0, 4), ("b", "0", None, 0, "first", 12, 5, 0, 5, 20, 5, 4), ("b", "1", None, 1, "second", 12, 5, 21, 5, 40, 5, 25), ("b", "2", None, 2, "late", 12, 5, 15, 5, 30, 5, 17)]
+    provider = spark.createDataFrame(symbols, PROVIDER_SYMBOLS)
+    places = [("a", "0", "b", 5, 7), ("a", "0", "b", 5, 7), ("a", "0", "b", 5, 16), ("a", "0", "b", 5, 25), ("a", "0", "b", 5, 41), ("a", "0", "a", 1, 1)]
+    tops = extraction.top_levels(provider)
+    at = extraction.located(provider, spark.createDataFrame(places, PROVIDER_LOCATIONS), tops)
+    assert sorted((r.char, r.name) for r in at.collect()) == [(7, "first"), (7, "first"), (16, "first"), (25, "second")]
+    files = spark.createDataFrame([("a", 4), ("b", 6)], "relative_path string, line_count int")
+    rows, lost = extraction.reference_rows(at, extraction.symbol_rows(provider.where("name <> 'second'"), files))
+    assert rows.count() == 2 and [(r.char, r.name) for r in lost.collect()] == [(25, "second")]
 
 
 def test_stream_of_listings(spark, tmp_path):
