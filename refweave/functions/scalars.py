@@ -29,6 +29,19 @@ def below(path: Column, root: str | None) -> Column:
     return F.when(p.startswith(r), F.substring(p, len(r) + 1, 2147483647)).otherwise(p)
 
 
+def relative(path: Column, root: str | None) -> Column:
+    """``path`` as seen from the folder ``root``, with slashes and as many ``..`` as it takes; unchanged without a root or
+    where it isn't absolute."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    if not root:
+        return path
+    base = root.replace("\\", "/").rstrip("/").split("/")
+    part, at = F.split(F.when(p == "/", "").otherwise(F.rtrim(p, F.lit("/"))), "/"), F.array(*map(F.lit, base))
+    common = F.size(F.filter(F.sequence(F.lit(1), F.lit(len(base))), lambda n: F.slice(part, 1, n) == F.slice(at, 1, n)))
+    steps = F.concat(F.array_repeat(F.lit(".."), F.lit(len(base)) - common), F.slice(part, common + 1, F.lit(2147483647)))
+    return F.when(p.rlike("^(/|[A-Za-z]:/)"), F.concat_ws("/", steps)).otherwise(path)
+
+
 def line_count(start: Column, end: Column) -> Column:
     return end - start + 1
 

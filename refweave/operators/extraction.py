@@ -68,7 +68,7 @@ def located(provider: DataFrame, locations: DataFrame, depths: DataFrame) -> Dat
     location without a character is at the line's begin. Each distinct position is resolved once, and a hot one goes back
     to its locations salted.
     """
-    cross = locations.withColumn("char", or_default(locations, "char", 0)).where(F.col("decl_path") != F.col("target_path"))
+    cross = cut(locations.withColumn("char", or_default(locations, "char", 0)).where(F.col("decl_path") != F.col("target_path")))
     chars = [c for c in ("start_char", "end_char") if c in provider.columns]
     spans = provider.join(depths.select("path", "symbol_key", "depth"), ["path", "symbol_key"]).select(
         "path", F.col("symbol_key").alias("id"), F.col("parent_key").alias("parent_id"), "depth", "ordinal", "start_line", "end_line", *chars
@@ -89,6 +89,7 @@ def reference_rows(located_: DataFrame, symbols: DataFrame) -> tuple[DataFrame,
     ids = find_ids(symbols).withColumnRenamed("path", "target_path")
     roots = symbols.where(F.col("kind") == FILE).groupBy("path").agg(F.min("id").alias("from_symbol_id")).withColumnRenamed("path", "decl_path")
     keys = ["target_path", "name", "start_line"]
+    located_ = cut(located_)
     found = cut(skew_join(located_, ids, keys, F.struct("decl_path", "decl_key", "line", "char"), "left"))
     rows = skew_join(found.where(F.col("symbol_id").isNotNull()), roots, ["decl_path"], F.struct("target_path", "line", "char")).select(
         stable_id(F.col("decl_path"), F.col("decl_key"), F.col("target_path"), F.col("line"), F.col("char")).alias("id"), "from_symbol_id", F.col("symbol_id").alias("to_symbol_id"),

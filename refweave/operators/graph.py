@@ -89,3 +89,11 @@ def elements(nodes: DataFrame, e: DataFrame) -> DataFrame:
     a = nodes.select(F.lit("node").alias("element"), "id", "label", "path", "symbol_count")
     b = e.select(F.lit("edge").alias("element"), "id", "source", "target", "relation_count")
     return a.unionByName(b, allowMissingColumns=True)
+
+
+def drawn(nodes: DataFrame, e: DataFrame) -> DataFrame:
+    """:func:`elements` with what a drawing needs of the encodings: (..., width, height, colour, opacity)."""
+    a = nodes.select(F.lit("node").alias("element"), "id", "label", "path", "symbol_count", enc.node_width(F.col("label"), F.col("symbol_count")).cast("double").alias("width"), enc.node_height(F.col("symbol_count")).alias("height"))
+    r = F.col("relation_count")
+    b = e.select(F.lit("edge").alias("element"), "id", "source", "target", r, enc.edge_width(r).alias("width"), enc.edge_colour(r).alias("colour"), enc.edge_opacity(r).alias("opacity"))
+    return a.unionByName(b, allowMissingColumns=True)

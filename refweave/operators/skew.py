@@ -16,6 +16,8 @@ from refweave.session import partitions
 COMBINE_ROWS = 200_000
 #: Rows that are sampled to find the keys that need more than one task.
 SAMPLE_ROWS = 100_000
+#: Rows that one task is never long over, so that no key of them is hot.
+ONE_TASK_ROWS = 50_000
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +141,11 @@ def hot_keys(rows: DataFrame, keys: list[str], of: Callable[[DataFrame], DataFra
 
     Measured on a sample of about ``sample_rows`` of ``rows``, or on all where there are fewer; ``of`` makes the rows with
     the keys of them. No more than twice as many keys as there are shuffle partitions can be hot, whatever the data's
-    size; None where none is. Null keys join nothing and aren't hot.
+    size; None where none is, as among ONE_TASK_ROWS or less. Null keys join nothing and aren't hot.
     """
     spark, total = rows.sparkSession, rows.count()
+    if total <= ONE_TASK_ROWS:
+        return None
     sampled = of(rows if total <= sample_rows else rows.sample(sample_rows / total, 17))
     counted = sampled.select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     share = (counted.agg(F.sum("n")).first()[0] or 0) / (2 * partitions(spark))

@@ -10,8 +10,7 @@ from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
 R = TypeVar("R")
-#: Seconds that the model's origin allows for each read of its graph command, symbols by file (fixed values). The graph run
-#: doesn't apply them: its reads are one lazy, set-based run over all files. A caller can, through :func:`within`.
+#: Seconds that the graph run allows for its reads: of the files, of the symbols of each file, and of the references (fixed values).
 LIMITS = {"files": 10.0, "symbols": 5.0, "references": 10.0}
 
 

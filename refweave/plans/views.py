@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from refweave.functions.normalize import norm_id, norm_path
 from refweave.operators.liveness import symbol_states
+from refweave.sources import crawl
 from refweave.sources.tables import table
 
 EXTRA = ("name", "kind", "end_line", "update_id", "pos_x", "pos_y")
@@ -19,13 +20,18 @@ def catalogue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, sf: str) -> DataFrame:
-    """(relative_path, updated_at) of the last delivered snapshot but one, or the only one."""
+    """(relative_path, updated_at) of the last delivered snapshot."""
     t = table(spark, sf, "code_file_snapshots").select("snapshot_no", norm_path("relative_path").alias("relative_path"), "updated_at").where("relative_path is not null")
-    two = F.slice(F.sort_array(F.collect_set("snapshot_no"), asc=False), 1, 2)  # as many as there were deliveries
-    last = t.agg(F.array_min(two).alias("snapshot_no"))
+    last = t.agg(F.max("snapshot_no").alias("snapshot_no"))
     return t.join(F.broadcast(last), "snapshot_no").groupBy("relative_path").agg(F.max("updated_at").alias("updated_at"))
 
 
+def line_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """(relative_path, line_count): the most lines of a path's texts."""
+    t = crawl.line_counts(table(spark, sf, "file_texts")).select(norm_path("relative_path").alias("relative_path"), "line_count")
+    return t.where("relative_path is not null").groupBy("relative_path").agg(F.max("line_count").alias("line_count"))
+
+
 def live_symbols(spark: SparkSession, sf: str) -> DataFrame:
     """The current rows of live symbols."""
     return symbol_states(table(spark, sf, "symbols"), table(spark, sf, "symbol_removals"), EXTRA).where("live").drop("live", "has_row", "removed", "at", "first_at")

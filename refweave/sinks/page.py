@@ -5,14 +5,40 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 MAX_ELEMENTS = 200_000
 
 _PAGE = """<!DOCTYPE html>
-<html><head><meta charset="utf-8"><title>{title}</title></head>
-<body><div id="graph"></div>
-<script>const elements = {elements};</script></body></html>
+<html><head><meta charset="utf-8"><title>{title}</title>
+<style>body {{ margin: 0; font: 13px sans-serif }} svg {{ width: 100vw; height: 100vh }} rect {{ fill: #e8eef7; stroke: #47729f }}</style></head>
+<body><svg id="graph"></svg>
+<script>
+const elements = {elements};
+const svg = document.getElementById("graph"), place = new Map();
+const add = (tag, at) => {{
+  const e = document.createElementNS("http://www.w3.org/2000/svg", tag);
+  for (const k in at) e.setAttribute(k, at[k]);
+  return svg.appendChild(e);
+}};
+const nodes = elements.filter(e => !e.data.source), edges = elements.filter(e => e.data.source);
+const radius = Math.max(200, 40 * nodes.length);
+nodes.forEach((e, k) => {{
+  const turn = 2 * Math.PI * k / nodes.length;
+  place.set(e.data.id, [radius * Math.cos(turn), radius * Math.sin(turn)]);
+}});
+svg.setAttribute("viewBox", [-radius - 200, -radius - 100, 2 * radius + 400, 2 * radius + 200].join(" "));
+for (const e of edges) {{
+  const [a, b] = [place.get(e.data.source), place.get(e.data.target)];
+  const line = add("line", {{x1: a[0], y1: a[1], x2: b[0], y2: b[1], stroke: e.data.colour, "stroke-width": e.data.width, opacity: e.data.opacity}});
+  line.appendChild(document.createElementNS("http://www.w3.org/2000/svg", "title")).textContent = String(e.data.relation_count);
+}}
+for (const e of nodes) {{
+  const [x, y] = place.get(e.data.id), {{width, height}} = e.data;
+  add("rect", {{x: x - width / 2, y: y - height / 2, width, height, rx: 6}});
+  add("text", {{x, y, "text-anchor": "middle", "dominant-baseline": "middle"}}).textContent = e.data.label;
+}}
+</script></body></html>
 """
 
 
@@ -31,3 +57,13 @@ def elements_json(elements: DataFrame) -> str:
 
 def page(title: str, elements: DataFrame) -> str:
     return _PAGE.format(title=html.escape(title), elements=elements_json(elements))
+
+
+def write_page(spark: SparkSession, path: str, text: str) -> None:
+    """Write ``text`` to a file of any file system that Hadoop knows, in place of an older one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    f = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        f.write(bytearray(text.encode()))
+    finally:
+        f.close()

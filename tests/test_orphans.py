@@ -67,7 +67,8 @@ def brute(refs, symbols, removals):
     return sorted(out)
 
 
-def test_orphans_against_brute_force(spark, rows):
+def test_orphans_against_brute_force(spark, rows, monkeypatch):
+    monkeypatch.setattr(skew, "ONE_TASK_ROWS", 100)
     rnd = random.Random(5)
     when = lambda: rnd.choice([None] + [T0 + timedelta(days=d) for d in range(40)])
     spell = lambda s: rnd.choice([s, "{" + s.upper() + "}", "  " + s, s + "\t"])
@@ -91,6 +92,7 @@ def test_empty_tables(spark, rows, with_refs):
 
 
 def test_a_key_with_half_of_the_rows_is_split(spark, rows, monkeypatch):
+    monkeypatch.setattr(skew, "ONE_TASK_ROWS", 100)
     ids = [ident(n) for n in range(40)]
     symbols = [(ids[n], None, "p", 1, T0 + timedelta(days=n % 3), True, "x") for n in range(0, 40, 2)]
     refs = [(f"r{k}", ids[k % 40], ids[7] if k % 2 else ids[6], "a", "b", T0 + timedelta(days=1), "x") for k in range(4000)]

@@ -1,9 +1,11 @@
+import json
 import os
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from refweave.plans.pipeline import build_graph, index
+from refweave.plans.pipeline import build_graph, index, show_graph
 from refweave.schema import CODE_FILES, PROVIDER_LOCATIONS, PROVIDER_SYMBOLS
 from refweave.sinks.page import elements_json, page
 from refweave.operators import extraction
@@ -57,6 +59,41 @@ def test_index_and_graph(spark, tmp_path):
 def test_store_must_exist(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         Store(spark, f"file://{tmp_path}/none", create=False)
+    with Store(spark, f"file://{tmp_path}/s") as store:
+        kept = spark.range(3).cache()
+        kept.count()
+    assert kept.storageLevel.useMemory  # a store closes nothing but itself
+    kept.unpersist()
+    with pytest.raises(ValueError):
+        store.table("symbols")
+
+
+def test_graph_run(spark, tmp_path):
+    at, out, told = f"file://{tmp_path}/store", f"file://{tmp_path}/graph.html", []
+    with pytest.raises(FileNotFoundError):
+        show_graph(spark, at, out)
+    store = Store(spark, at)
+    with pytest.raises(ValueError, match="no symbols"):
+        show_graph(spark, at, out, limits={"files": 60, "references": 60})
+    run(spark, store, [("a.py", T1), ("b.py", T1), ("c.py", T1)])
+    got = show_graph(spark, at, out, "<a> & b", {"files": 60, "references": 60}, lambda percent, message: told.append(percent))
+    assert (got.files, got.symbols, got.references, got.nodes, got.edges, got.symbols_below, got.skipped) == (3, 7, 3, 3, 2, 4, 0)
+    assert got.relations == {"total": 3, "average": 1.5, "largest": 2, "smallest": 1} and told == [10, 20, 35, 50, 58, 100]
+    text = (tmp_path / "graph.html").read_text()
+    data = json.loads(text.split("const elements = ")[1].split(";\n")[0])
+    assert "<title>&lt;a&gt; &amp; b</title>" in text and len(data) == 5 and {"width", "height"} <= data[0]["data"].keys() and "colour" in data[-1]["data"]
+    with pytest.raises(TimeoutError):
+        show_graph(spark, at, out, limits={"files": 0.0})
+
+
+@pytest.mark.parametrize("path,root,seen", [
+    ("/r/p/a/b.ts", "/r/p", "a/b.ts"), ("/r/q/b.ts", "/r/p/", "../q/b.ts"), ("/x", "/r/p", "../../x"), ("/r/p", "/r/p", ""), ("C:\\w\\a.ts", "C:\\w", "a.ts"), ("C:\\w\\a.ts", "C:\\w\\v", "../a.ts"),
+    ("a/b", "/r", "a/b"), ("/r/a\\b", None, "/r/a\\b"), ("/r/pq/a", "/r/p", "../pq/a"), (None, "/r", None),
+])
+def test_relative_paths(spark, path, root, seen):
+    from refweave.functions import scalars
+
+    assert spark.createDataFrame([(path,)], "p string").select(scalars.relative(F.col("p"), root)).first()[0] == seen
 
 
 def test_upsert_sequence(spark, tmp_path):

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from refweave.operators import skew
 from refweave.operators.skew import heavy_keys, hot_keys, key_profile, skew_join
 
 
@@ -42,7 +43,8 @@ def test_empty(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_skew_join(spark, rows, how):
+def test_skew_join(spark, rows, monkeypatch, how):
+    monkeypatch.setattr(skew, "ONE_TASK_ROWS", 100)
     left = spark.createDataFrame([("hot" if k % 2 else f"k{k % 37}" if k % 5 else None, k) for k in range(1000)], "a string, n int")
     right = spark.createDataFrame([(f"k{k}", k) for k in range(30)] + [("hot", -1)], "a string, v int")
     assert [r.a for r in hot_keys(left, ["a"]).collect()] == ["hot"] and hot_keys(right, ["a"]) is None
