@@ -98,14 +98,15 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     runs = np.zeros(n - width + 1, np.uint64)
     for k in range(width):
         runs += hashes[k : n - width + 1 + k] * _POWERS[k]
-    return np.unique((_mix(runs) >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+    found = np.sort((_mix(runs) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+    return found[np.append(True, found[1:] != found[:-1])]
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """Hash of each band of a MinHash signature; none for an empty set.
+def bands(hashes: np.ndarray, view: int = 0) -> list[int]:
+    """The bucket of each band of a MinHash signature, a number that no other band or view has; none for an empty set.
 
     One permutation: each hash falls into a slot by its mixed value, and a slot keeps its least. An empty slot takes
-    over the next full one's, with the distance mixed in.
+    over the next full one's, with the distance mixed in. The buckets of the FIRST bands are odd, those of others even.
     """
     if not len(hashes):
         return []
@@ -119,8 +120,9 @@ def bands(hashes: np.ndarray) -> list[int]:
     at = np.flatnonzero(full)
     next_ = at[np.searchsorted(at, np.arange(slots)) % len(at)]
     low = low[next_] + ((next_ - np.arange(slots)) % slots).astype(np.uint64) * _ODD
-    rows = _mix((low.reshape(BANDS, ROWS) * _POWERS[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-    return rows.view(np.int64).tolist()
+    band = np.arange(BANDS, dtype=np.uint64)
+    rows = _mix((low.reshape(BANDS, ROWS) * _POWERS[:ROWS]).sum(axis=1, dtype=np.uint64) + band + np.uint64(BANDS * view))
+    return (rows & ~np.uint64(1) | (band < FIRST).astype(np.uint64)).view(np.int64).tolist()
 
 
 def measure(text: str, repository: str, tokens: Tokens) -> dict:
@@ -170,7 +172,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 m = measure(text, repo, tokens)
                 row = [path, repo, *(m[k] for k in _MEASURES)]
                 for k, h in enumerate((m["masked"], m["raw"])):  # a key is of one view
-                    row += [xxhash.xxh64_intdigest(h.tobytes(), k) - 2**63 if len(h) else None, h, bands(h)]
+                    row += [xxhash.xxh64_intdigest(h.tobytes(), k) - 2**63 if len(h) else None, h, bands(h, k)]
                 out.append(row)
             yield pd.DataFrame(out, columns=_FIELDS).astype({"masked_key": "Int64", "raw_key": "Int64"})
 
@@ -245,7 +247,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
 def _links(d: pd.DataFrame) -> pd.DataFrame:
     """Links of the buckets, or parts of buckets, that a group holds: all pairs of a rest and another member."""
     out = [pd.DataFrame({"u": [], "v": []}, dtype="int64")]
-    for _, g in d.groupby(["band", "bucket", "p", "q"], sort=False):
+    for _, g in d.groupby(["bucket", "p", "q"], sort=False):
         g = g.groupby("set_key", sort=True).agg({"shingles": "first", "rest": "max", "other": "max"})
         keys = g.index.to_numpy()
         left, right = np.flatnonzero(g["rest"]), np.flatnonzero(g["other"])
@@ -256,51 +258,53 @@ def _links(d: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def _compared(tasks: DataFrame, classes: DataFrame, groups: int) -> DataFrame:
-    """(u, v) of tasks: (set_key, band, bucket, p, q, hot, rest, other). Parts of hot buckets are groups of their own,
-    the other buckets share groups."""
-    task = F.when(F.col("hot"), F.xxhash64("band", "bucket", "p", "q")).otherwise(F.pmod(F.xxhash64("band", "bucket"), F.lit(groups)))
-    return tasks.withColumn("task", task).drop("hot").join(classes.select("set_key", "shingles"), "set_key").groupBy("task").applyInPandas(_links, "u long, v long")
+def _compared(tasks: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
+    """(u, v) of tasks: (set_key, bucket, p, q, hot, rest, other). Parts of hot buckets are groups of their own, the other
+    buckets share groups."""
+    task = F.when(F.col("hot"), F.xxhash64("bucket", "p", "q")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(groups)))
+    return tasks.withColumn("task", task).drop("hot").join(sets, "set_key").groupBy("task").applyInPandas(_links, "u long, v long")
 
 
-def clusters(classes: DataFrame) -> DataFrame:
+def clusters(sets: DataFrame) -> DataFrame:
     """(u, v): each set of a cluster with the least set of it, which has no row; a set without links has none either.
 
-    classes: (view, set_key, shingles, bands), distinct sets; the numbers of a view's bands are its own, so that only sets
-    of one view meet. Clusters are the connected components of the links between sets that share a band's bucket and are
-    similar by the exact share of common shingles. They are found in two rounds. First, in the buckets of the FIRST bands
-    of a view, parts of at most about BLOCK sets are compared whole, each with the bucket's least and greatest set in it.
-    What these links join needs no further comparison: then, in each bucket of all bands whose sets aren't all joined yet,
-    the sets outside the bucket's largest joined group are compared with all that their sizes allow. So no link that joins
-    two groups is lost, and a bucket of texts that are all near each other costs time in proportion to its sets, not to
-    their pairs.
+    sets: (set_key, shingles, bands); equal sets are one, whatever their number. Clusters are the connected components of
+    the links between sets that share a bucket and are similar by the exact share of common shingles. They are found in two
+    rounds. First, in the buckets of the FIRST bands, parts of at most about BLOCK sets are compared whole, each with the
+    bucket's least and greatest set in it. What these links join needs no further comparison: then, in each bucket of all
+    bands whose sets aren't all joined yet, the sets outside the bucket's largest joined group are compared with all that
+    their sizes allow. So no link that joins two groups is lost, and a bucket of texts that are all near each other costs
+    time in proportion to its sets, not to their pairs.
     """
-    banded = classes.select("set_key", F.size("shingles").alias("size"), "view", F.posexplode("bands").alias("b", "bucket")).withColumn("band", F.col("view") * BANDS + F.col("b")).drop("view", "b")
-    sizes = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("least"), F.max("set_key").alias("greatest")).where("n > 1")
-    members = cut(banded.join(sizes.select("band", "bucket", "n"), ["band", "bucket"]))
+    banded = sets.select("set_key", F.size("shingles").cast("int").alias("size"), "bands").dropDuplicates(["set_key"]).select("set_key", "size", F.explode("bands").alias("bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
+    members = cut(banded.join(sizes, "bucket"))
+    # what stands alone in all its buckets isn't fetched
+    known = cut(sets.select("set_key", "shingles").join(members.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(["set_key"]))
     groups = members.count() // BLOCK + 1
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     part = lambda n: F.pmod(F.xxhash64("set_key"), parts(n)).cast("int")
-    every, hot, is_first = F.lit(True), F.col("n") > BLOCK, F.col("band") % BANDS < FIRST
-    cols = ["set_key", "band", "bucket", "p", F.lit(0).alias("q"), hot.alias("hot"), every.alias("rest"), every.alias("other")]
-    ends = sizes.where(is_first & hot).withColumn("set_key", F.explode(F.array("least", "greatest"))).withColumn("p", F.explode(F.sequence(F.lit(0), parts("n") - 1)))
+    every, hot, is_first = F.lit(True), F.col("n") > BLOCK, F.col("bucket").bitwiseAND(F.lit(1)) == 1
+    cols = ["set_key", "bucket", "p", F.lit(0).alias("q"), hot.alias("hot"), every.alias("rest"), every.alias("other")]
+    ends = members.where(is_first & hot).groupBy("bucket", "n").agg(F.min("set_key").alias("least"), F.max("set_key").alias("greatest"))
+    ends = ends.withColumn("set_key", F.explode(F.array("least", "greatest"))).withColumn("p", F.explode(F.sequence(F.lit(0), parts("n") - 1)))
     tasks = members.where(is_first).withColumn("p", part("n")).select(*cols).unionByName(ends.select(*cols))
-    joined = components(_compared(tasks, classes, groups))
+    joined = components(_compared(tasks, known, groups))
 
     placed = cut(members.join(joined.withColumnRenamed("u", "set_key"), "set_key", "left").withColumn("joined", F.coalesce("v", "set_key")).drop("v"))
-    held = placed.groupBy("band", "bucket", "joined").agg(F.count(F.lit(1)).alias("m"), F.min("size").alias("lo"), F.max("size").alias("hi"))
-    largest = held.groupBy("band", "bucket").agg(F.max(F.struct("m", "joined")).alias("top"), F.sum("m").alias("all")).where("top.m < all")
-    rest = held.join(largest, ["band", "bucket"]).where(F.col("joined") != F.col("top.joined")).groupBy("band", "bucket").agg(
+    held = placed.where(~is_first | hot).groupBy("bucket", "joined").agg(F.count(F.lit(1)).cast("int").alias("m"), F.min("size").alias("lo"), F.max("size").alias("hi"))
+    largest = held.groupBy("bucket").agg(F.max(F.struct("m", "joined")).alias("top"), F.sum("m").alias("all")).where("top.m < all")
+    rest = held.join(largest, "bucket").where(F.col("joined") != F.col("top.joined")).groupBy("bucket").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("top.joined").alias("largest"), F.sum("m").alias("n_rest")
     )
     fits = (F.col("size") >= SIMILAR * F.col("lo") - 1e-9) & (F.col("size") <= F.col("hi") / SIMILAR + 1e-9)
-    open_ = placed.where(~is_first | hot).join(rest, ["band", "bucket"]).where(fits).withColumn("is_rest", F.col("joined") != F.col("largest"))
-    cols = ["set_key", "band", "bucket", "p", "q", hot.alias("hot"), "rest", "other"]
+    open_ = placed.where(~is_first | hot).join(rest, "bucket").where(fits).withColumn("is_rest", F.col("joined") != F.col("largest"))
+    cols = ["set_key", "bucket", "p", "q", hot.alias("hot"), "rest", "other"]
     whole = open_.where(~hot).withColumns({"p": F.lit(0), "q": F.lit(0), "rest": F.col("is_rest"), "other": every})
     left = open_.where(hot & F.col("is_rest")).withColumns({"p": part("n_rest"), "q": F.explode(F.sequence(F.lit(0), parts("n") - 1)), "rest": every, "other": ~every})
     right = open_.where(hot).withColumns({"q": part("n"), "p": F.explode(F.sequence(F.lit(0), parts("n_rest") - 1)), "rest": ~every, "other": every})
     tasks = whole.select(*cols).unionByName(left.select(*cols)).unionByName(right.select(*cols))
-    return components(joined.unionByName(_compared(tasks, classes, groups)))
+    return components(joined.unionByName(_compared(tasks, known, groups)))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -334,9 +338,9 @@ def families(measured: DataFrame) -> DataFrame:
     Files are added up by class and repository before they meet, so hot classes are small.
     """
     averages = ("density", "literal", "name_length", "line_length")
-    views = F.explode(F.array(*[F.struct(F.lit(k).alias("view"), *[F.col(f"{v}_{x}").alias(y) for x, y in (("key", "set_key"), ("set", "shingles"), ("bands", "bands"))]) for k, v in enumerate(VIEWS)]))
-    sets = measured.select("repo", *averages, views.alias("x")).select("repo", *averages, "x.*").where("set_key is not null")
-    found = clusters(cut(sets.select("view", "set_key", "shingles", "bands").dropDuplicates(["set_key"])))
+    views = [measured.where(F.col(f"{v}_key").isNotNull()).select(F.lit(k).alias("view"), "repo", *averages, *[F.col(f"{v}_{x}").alias(y) for x, y in (("key", "set_key"), ("set", "shingles"), ("bands", "bands"))]) for k, v in enumerate(VIEWS)]
+    sets = views[0].unionByName(views[1])
+    found = clusters(sets.select("set_key", "shingles", "bands"))
     classes = sets.groupBy("view", "set_key", "repo").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in averages])
     placed = cut(classes.join(found.select(F.col("u").alias("set_key"), F.col("v").alias("cluster")), "set_key", "left").withColumn("cluster", F.coalesce("cluster", "set_key")))
     by_repo = placed.groupBy("cluster", "repo").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in averages])
