@@ -98,3 +98,20 @@ def open_texts(spark: SparkSession, root: str) -> DataFrame:
 def shortest_root(folders: list[str]) -> str | None:
     """The shortest of the workspace folders, the first of equals; None without any."""
     return min(folders, key=len) if folders else None
+
+
+def workspace(spark: SparkSession, folders: list[str], associations: dict[str, str] | None) -> tuple[str, DataFrame]:
+    """(root, listing) of a workspace: its shortest folder and the files there that match an association.
+
+    Without a folder or without an association there is nothing to index, which is a ValueError rather than an empty
+    listing, by which an index run would remove everything.
+    """
+    root = shortest_root(folders)
+    if root is None or not associations:
+        raise ValueError("a workspace needs a folder and an association")
+    return root, listing(spark, root, associations)
+
+
+def store_path(root: str) -> str:
+    """Where the store of a workspace's root folder lies."""
+    return f"{root.rstrip('/')}/.refweave/store"

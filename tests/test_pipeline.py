@@ -119,6 +119,11 @@ def test_crawl(spark, tmp_path):
         ("folder2/test2.go", "golang", "2025-05-30T12:49:31.429"), ("pkg/__init__.py", "py", "2001-09-09T01:46:40"),
     ]
     assert crawl.listing(spark, str(tmp_path), None).count() == 0
+    root, listed = crawl.workspace(spark, [f"{tmp_path}/folder1", str(tmp_path)], {"**/*.rs": "rust"})
+    assert root == str(tmp_path) and [r.relative_path for r in listed.collect()] == ["folder1/test1.rs"] and crawl.store_path("/a/") == "/a/.refweave/store"
+    for folders, associations in (([], {"*": "x"}), (["/a"], {}), (["/a"], None)):
+        with pytest.raises(ValueError):
+            crawl.workspace(spark, folders, associations)
     (tmp_path / "folder1" / "full.rs").write_text("fn main() {}")
     assert [r.relative_path for r in crawl.list_remote(spark, str(tmp_path)).collect()] == ["folder1/full.rs"]
     assert crawl.shortest_root(["/a/b", "/a", "/b"]) == "/a" and crawl.shortest_root([]) is None
